@@ -1,0 +1 @@
+"""Intentionally empty: the inputs are full snapshots, so every operator here is a batch operator."""
