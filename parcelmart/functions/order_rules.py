@@ -46,7 +46,7 @@ def valid_stages(handling: Column, transit: Column) -> Column:
     return F.coalesce((handling >= 0) & (transit >= 0), F.lit(False))
 
 
-def interstate(items: Column, lowest_state: Column, highest_state: Column, customer_state: Column) -> Column:
-    """1 if any seller state differs from the customer's. A set differs from x iff its minimum or maximum does."""
-    differs = F.coalesce((lowest_state != customer_state) | (highest_state != customer_state), F.lit(False))
-    return F.when(items.isNotNull(), differs.cast("int"))
+def interstate(items: Column, seller_state: Column, several_states: Column, customer_state: Column) -> Column:
+    """1 if any seller state differs from the customer's: always so when the sellers sit in several states."""
+    differs = customer_state.isNotNull() & (several_states | (seller_state != customer_state))
+    return F.when(items.isNotNull(), F.coalesce(differs, F.lit(False)).cast("int"))

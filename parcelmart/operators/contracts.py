@@ -62,15 +62,20 @@ def check_grain(mart: DataFrame, source: DataFrame, key: str = "order_id") -> Da
     return _check(sizes, "mart_grain", held, F.col("n") - F.col("expected"))
 
 
+def exact_sum(column: str) -> Column:
+    """Decimal total: unlike a sum of doubles it neither depends on row order nor drifts with the row count."""
+    return F.sum(F.col(column).cast("decimal(28,6)"))
+
+
 def check_sum(
     left: DataFrame, left_column: str, right: DataFrame, right_column: str, tolerance: float = 0.01
 ) -> DataFrame:
-    """Two totals must agree; the detail is their difference rounded to six digits."""
-    totals = left.agg(F.sum(left_column).alias("left_total")).withColumn(
-        "right_total", _scalar(right, F.sum(right_column))
+    """Two totals must agree; the detail is their difference, to six digits."""
+    totals = left.agg(exact_sum(left_column).alias("left_total")).withColumn(
+        "right_total", _scalar(right, exact_sum(right_column))
     )
     gap = F.col("left_total") - F.col("right_total")
-    return _check(totals, "value_reconciliation", F.abs(gap) < tolerance, F.round(gap, 6))
+    return _check(totals, "value_reconciliation", F.abs(gap) < tolerance, gap)
 
 
 def check_domain(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
@@ -148,7 +153,7 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
         F.struct(
             F.count(F.lit(1)).alias("n"),
             F.count_distinct("order_id").alias("keys"),
-            F.sum("item_value_brl").alias("value"),
+            exact_sum("item_value_brl").alias("value"),
             F.count_if(~has).alias("ineligible_orders"),
             F.count_if(has & F.col("review_score").isNull()).alias("missing_review_eligible"),
             F.count_if(
@@ -157,7 +162,7 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
             F.count_if(has & ~F.col("valid_stages")).alias("invalid_stage_eligible"),
         ).alias("c")
     ).scalar()
-    totals = tables["items"].agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))).scalar()
+    totals = tables["items"].agg(F.struct(F.count(F.lit(1)).alias("n"), exact_sum("price").alias("price"))).scalar()
     sizes = {name: _scalar(df, F.count(F.lit(1))) for name, df in tables.items() if name != "items"}
     facts = mart.sparkSession.range(1).select(
         counters.alias("c"),
@@ -173,7 +178,7 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
         F.struct(*counts).alias("raw_counts"),
         ((F.col("c.n") == F.col("c.keys")) & (F.col("c.n") == F.col("raw.orders"))).alias("order_grain_pass"),
         (F.abs(gap) < 0.01).alias("item_value_reconciled"),
-        F.round(gap, 6).alias("item_value_difference_brl"),
+        gap.cast("double").alias("item_value_difference_brl"),
         "c.ineligible_orders",
         "c.missing_review_eligible",
         "c.pre_delivery_reviews",

@@ -18,17 +18,19 @@ ORDER_STAGES = {
 }
 
 
-def _present_events(stages: Mapping[str, str], keep_null: Sequence[str]) -> Column:
-    """Array of (undated, event_time, event_type); sorting it puts undated events last and ties by name."""
-    events = []
-    for name, column in stages.items():
-        event = F.struct(
-            F.col(column).isNull().alias("undated"),
-            F.col(column).alias("event_time"),
-            F.lit(name).alias("event_type"),
+def _events(stages: Mapping[str, str], keep_null: Sequence[str]) -> Column:
+    """Array of (standing, event_time, event_type). Standing 0 is dated, 1 undated but kept, 2 undated and to drop;
+    sorting the array therefore orders by time, then name, with the kept undated events after the dated ones."""
+    return F.array(
+        *(
+            F.struct(
+                F.when(F.col(column).isNotNull(), 0).otherwise(1 if name in keep_null else 2).alias("standing"),
+                F.col(column).alias("event_time"),
+                F.lit(name).alias("event_type"),
+            )
+            for name, column in stages.items()
         )
-        events.append(event if name in keep_null else F.when(F.col(column).isNotNull(), event))
-    return F.array_compact(F.array(*events))
+    )
 
 
 def unpivot_events(
@@ -38,7 +40,8 @@ def unpivot_events(
     keep_null: Sequence[str] = ("purchase",),
 ) -> DataFrame:
     """One row per dated event, from a single scan; undated events stay only for the types in ``keep_null``."""
-    return df.select(key, F.inline(_present_events(stages, keep_null))).select(key, "event_type", "event_time")
+    events = df.select(key, F.inline(_events(stages, keep_null)))
+    return events.filter("standing < 2").select(key, "event_type", "event_time")
 
 
 def order_event_intervals(
@@ -48,10 +51,10 @@ def order_event_intervals(
     keep_null: Sequence[str] = ("purchase",),
 ) -> DataFrame:
     """Events of a table with one row per key, with previous event and hours since it, without any shuffle."""
-    sorted_events = orders.select(key, F.array_sort(_present_events(stages, keep_null)).alias("events"))
-    exploded = sorted_events.select(key, "events", F.posexplode("events").alias("position", "event"))
+    ordered = orders.select(key, F.sort_array(_events(stages, keep_null)).alias("events"))
+    exploded = ordered.select(key, "events", F.posexplode("events").alias("position", "event"))
     previous = F.get("events", F.col("position") - 1)
-    return exploded.select(
+    return exploded.filter("event.standing < 2").select(
         key,
         F.col("event.event_type").alias("event_type"),
         F.col("event.event_time").alias("event_time"),

@@ -12,52 +12,70 @@ from ..functions.durations import elapsed_days
 from ..functions.order_rules import ReviewRule
 from ..schemas import EXPORT_COLUMNS
 
-_SELLER_STATES = ["lowest_seller_state", "highest_seller_state"]
-
-
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each group. Spark keeps one candidate per group and task before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_position", F.row_number().over(window)).filter("_position = 1").drop("_position")
 
 
+def _coded(df: DataFrame, column: str, code: str) -> DataFrame:
+    """The distinct values of a label column, numbered. The numbering window sees only the vocabulary."""
+    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    return values.withColumn(code, F.row_number().over(Window.orderBy(column)))
+
+
 def item_summary(items: DataFrame, products: DataFrame, translation: DataFrame, sellers: DataFrame) -> DataFrame:
     """One row per order with items.
 
-    Labels are attached to the products, not to the items, and distinct sellers are counted by a
-    (order, seller) pre-aggregation, so an order with very many items never gathers in one task. The
-    category set of an order is bounded by the category vocabulary.
+    Labels travel as integer codes of their vocabulary, attached to products and sellers, so the item-level
+    aggregation has only fixed-width buffers and stays a generated hash aggregation. Distinct sellers and
+    categories are counted through (order, value) pre-aggregation, so an order with very many items is spread
+    over tasks and never gathered as a set.
     """
-    labelled = products.join(translation, "product_category_name", "left").select(
-        "product_id", "product_category_name", "product_category_name_english", "product_weight_g"
+    categories = _coded(products, "product_category_name", "category_code")
+    states = _coded(sellers, "seller_state", "state_code")
+    coded_products = products.join(categories, "product_category_name", "left").select(
+        "product_id", "category_code", "product_weight_g"
     )
-    lines = items.join(labelled, "product_id", "left").join(
-        sellers.select("seller_id", "seller_state"), "seller_id", "left"
+    coded_sellers = sellers.join(states, "seller_state", "left").select("seller_id", "state_code")
+    grouped = (
+        items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+        .join(coded_products, "product_id", "left")
+        .join(coded_sellers, "seller_id", "left")
+        .groupBy("order_id")
+        .agg(
+            F.count(F.lit(1)).alias("item_count"),
+            F.count_distinct("seller_id").alias("seller_count"),
+            F.sum("price").alias("item_value_brl"),
+            F.sum("freight_value").alias("freight_charged_brl"),
+            F.count_distinct("category_code").alias("category_count"),
+            F.avg("product_weight_g").alias("mean_weight_g"),
+            F.max("category_code").alias("category_code"),
+            F.min("state_code").alias("state_code"),
+            F.max("state_code").alias("_other_state_code"),
+        )
     )
-    grouped = lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
-        F.sum("price").alias("item_value_brl"),
-        F.sum("freight_value").alias("freight_charged_brl"),
-        F.size(F.collect_set("product_category_name")).cast("bigint").alias("category_count"),
-        F.max("product_category_name_english").alias("_label"),
-        F.avg("product_weight_g").alias("mean_weight_g"),
-        F.min("seller_state").alias("lowest_seller_state"),
-        F.max("seller_state").alias("highest_seller_state"),
+    labels = categories.join(translation, "product_category_name", "left").select(
+        "category_code", F.col("product_category_name_english").alias("_label")
     )
     category = F.when(F.col("category_count") > 1, "mixed_categories").otherwise(
         F.coalesce("_label", F.lit("unknown"))
     )
-    return grouped.select(
-        "order_id",
-        "item_count",
-        "seller_count",
-        "item_value_brl",
-        "freight_charged_brl",
-        "category_count",
-        category.alias("category"),
-        "mean_weight_g",
-        *_SELLER_STATES,
+    return (
+        grouped.join(labels, "category_code", "left")
+        .join(states, "state_code", "left")
+        .select(
+            "order_id",
+            "item_count",
+            "seller_count",
+            "item_value_brl",
+            "freight_charged_brl",
+            "category_count",
+            category.alias("category"),
+            "mean_weight_g",
+            F.col("seller_state").alias("one_seller_state"),
+            (F.col("state_code") != F.col("_other_state_code")).alias("several_seller_states"),
+        )
     )
 
 
@@ -83,9 +101,9 @@ def join_order_context(orders: DataFrame, customers: DataFrame, summary: DataFra
         .join(review, "order_id", "left")
     )
     crossing = rules.interstate(
-        F.col("item_count"), *(F.col(c) for c in _SELLER_STATES), F.col("customer_state")
+        F.col("item_count"), F.col("one_seller_state"), F.col("several_seller_states"), F.col("customer_state")
     )
-    return joined.withColumn("interstate", crossing).drop(*_SELLER_STATES)
+    return joined.withColumn("interstate", crossing).drop("one_seller_state", "several_seller_states")
 
 
 def with_durations(df: DataFrame) -> DataFrame:

@@ -65,21 +65,27 @@ def raw_reviews(orders: DataFrame) -> DataFrame:
     k, purchased = F.col("k"), F.col("purchased")
     arrival_min = F.col("carrier_min") + F.col("transit_min") + 240
     answer_min = arrival_min + k * 53 % 10080 - 1440
-    text = k.cast("string")
 
-    def review(prefix: str, score: Column, answered: Column) -> Column:
-        return F.struct(
-            F.concat(F.lit(prefix), text).alias("review_id"),
+    first, second = k % 20 != 0, k % 11 == 0
+    written = (
+        F.when(first & second, F.array(F.lit("a"), F.lit("b")))
+        .when(first, F.array(F.lit("a")))
+        .when(second, F.array(F.lit("b")))
+    )
+    is_first = F.col("kind") == "a"
+    return (
+        _order_clock(orders)
+        .withColumn("kind", F.explode(written))
+        .select(
+            F.concat("kind", k.cast("string")).alias("review_id"),
             k.alias("order_id"),
-            score.cast("int").alias("review_score"),
+            F.when(is_first, 1 + (k * 17 + k % 7) % 5).otherwise(1 + k % 5).cast("int").alias("review_score"),
             (purchased + _minutes(arrival_min)).alias("review_creation_date"),
-            answered.alias("review_answer_timestamp"),
+            F.when(~is_first | (k % 53 != 0), purchased + _minutes(answer_min + F.when(is_first, 0).otherwise((k % 3 - 1) * 600))).alias(
+                "review_answer_timestamp"
+            ),
         )
-
-    first = review("a", 1 + (k * 17 + k % 7) % 5, F.when(k % 53 != 0, purchased + _minutes(answer_min)))
-    second = review("b", 1 + k % 5, purchased + _minutes(answer_min + (k % 3 - 1) * 600))
-    written = F.array(F.when(k % 20 != 0, first), F.when(k % 11 == 0, second))
-    return _order_clock(orders).select(F.inline(F.array_compact(written)))
+    )
 
 
 def raw_items(lineitem: DataFrame) -> DataFrame:
