@@ -14,6 +14,7 @@ from .features import CATEGORICAL, INFREQUENT, NUMERIC, fill_missing, medians, s
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
 BROADCAST_VALUES = 100_000
+ROWS_PER_TASK = 100_000
 
 
 @dataclass
@@ -67,47 +68,50 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
     stats = scaling(filled).first()
     categories = vocabulary(filled, min_frequency).select("feature", "value", "label", "place").persist()
     labels: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
+    category_rows = 0
     # One row per output column of the model, whose coefficients the driver holds anyway.
-    for row in categories.select("feature", "label", "place").distinct().orderBy("feature", "place").collect():
+    outputs = categories.groupBy("feature", "label", "place").agg(F.count(F.lit(1)).alias("n"))
+    for row in sorted(outputs.collect(), key=lambda r: (r["feature"], r["place"])):
         labels[row["feature"]].append(row["label"])
-    places = train.sparkSession.createDataFrame(
-        [
-            tuple(float(min(i, len(labels[c]) - 1)) for c in CATEGORICAL)
-            for i in range(max(len(labels[c]) for c in CATEGORICAL))
-        ],
-        [f"{c}_place" for c in CATEGORICAL],
-    )
+        category_rows += row["n"]
+    # The encoder only needs to know how many positions each category has.
+    positions = [
+        F.lit(0.0).alias(f"{c}_place", metadata={"ml_attr": {"type": "nominal", "num_vals": len(labels[c])}})
+        for c in CATEGORICAL
+    ]
     encoder = OneHotEncoder(
         inputCols=[f"{c}_place" for c in CATEGORICAL],
         outputCols=[f"{c}_vector" for c in CATEGORICAL],
         handleInvalid="keep",
         dropLast=True,
-    ).fit(places)
+    ).fit(train.sparkSession.range(1).select(*positions))
     return DelayModel(
         fills,
         {c: stats[f"{c}_mean"] for c in NUMERIC},
         {c: stats[f"{c}_std"] or 1.0 for c in NUMERIC},
         categories,
-        categories.count(),
+        category_rows,
         labels,
         encoder,
     )
 
 
-def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: int = 50, tol: float = 1e-8) -> DelayModel:
+def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: int = 50, tol: float = 1e-6) -> DelayModel:
     """L2-penalized logistic regression; ``c`` is the inverse penalty on the summed loss, the intercept is free."""
     model = fit_preprocessing(train, min_frequency)
     rows = encode(train, model).select(F.col("target").cast("double").alias("target"), "features").persist()
+    n = rows.count()
     estimator = LogisticRegression(
         labelCol="target",
         featuresCol="features",
-        regParam=1.0 / (c * rows.count()),
+        regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
         tol=tol,
     )
-    model.classifier = estimator.fit(rows)
+    # Each iteration is one job over all partitions; tiny partitions would only add scheduling.
+    model.classifier = estimator.fit(rows.coalesce(max(1, n // ROWS_PER_TASK)))
     rows.unpersist()
     return model
 

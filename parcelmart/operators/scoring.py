@@ -40,21 +40,17 @@ def ranked_scores(df: DataFrame, label: str, score: str, cell_rows: int = 1_000_
         "cell", F.floor((position - F.col("bin")) * F.col("parts"))
     )
 
-    inner = Window.partitionBy("bin").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = cells.groupBy("bin", "cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    per_bin = per_cell.groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    zero = F.lit(0)
-    bin_offsets = per_bin.select(
-        "bin",
-        F.coalesce(F.sum("pos").over(outer), zero).alias("bin_tp"),
-        F.coalesce(F.sum("neg").over(outer), zero).alias("bin_fp"),
-    )
-    offsets = per_cell.join(F.broadcast(bin_offsets), "bin").select(
-        "bin",
-        "cell",
-        (F.col("bin_tp") + F.coalesce(F.sum("pos").over(inner), zero)).alias("tp_before"),
-        (F.col("bin_fp") + F.coalesce(F.sum("neg").over(inner), zero)).alias("fp_before"),
+    # One row per cell, at most 4096 + rows / cell_rows of them, so one task can add them up.
+    before = Window.orderBy(F.desc("bin"), F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cells.groupBy("bin", "cell")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .select(
+            "bin",
+            "cell",
+            F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp_before"),
+            F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp_before"),
+        )
     )
     in_cell = (
         Window.partitionBy("bin", "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)

@@ -22,6 +22,12 @@ LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.session.timeZone": "UTC",
     "spark.driver.memory": "8g",
+    # No Python call-site capture for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
+    # Long sessions generate much code: keep the compiled classes, and room for their machine code.
+    "spark.sql.codegen.cache.maxEntries": "4000",
+    "spark.driver.extraJavaOptions": "-XX:ReservedCodeCacheSize=1g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

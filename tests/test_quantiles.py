@@ -20,12 +20,12 @@ def _samples():
     }
 
 
-@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
-def test_grouped_percentiles_are_exact(spark, accuracy):
+@pytest.mark.parametrize("accuracy,few_groups", [(10, True), (100, False), (10_000, True)])
+def test_grouped_percentiles_are_exact(spark, accuracy, few_groups):
     samples = _samples()
     rows = [(g, float(v)) for g, values in samples.items() for v in values] + [("ties", None), (None, 7.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(6)
-    got = {r.g: r for r in exact_percentiles(df, F.col("v"), PERCENTILES, ["g"], accuracy).collect()}
+    got = {r.g: r for r in exact_percentiles(df, F.col("v"), PERCENTILES, ["g"], accuracy, few_groups).collect()}
     assert set(got) == set(samples) | {None}
     for group, values in samples.items():
         for name, p in PERCENTILES.items():
