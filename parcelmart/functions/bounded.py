@@ -1,0 +1,26 @@
+"""Broadcasting only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def _within(number: Column, what: str, limit: int) -> Column:
+    message = F.lit(f"more than {limit} {what}: too many to broadcast, ask for the shuffled join")
+    return F.when(number <= limit, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
+def bounded_broadcast(
+    df: DataFrame, what: str, number: str | None = None, limit: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Hint a broadcast of ``df`` that fails loudly, instead of filling the executors, beyond ``limit`` rows.
+
+    ``number`` names a column that already numbers the rows from 1; without it the rows are counted on the way.
+    """
+    if number:
+        return F.broadcast(df.filter(_within(F.col(number), what, limit)))
+    counted = df.withColumn("_row", F.row_number().over(Window.orderBy(F.lit(1))))
+    return F.broadcast(counted.filter(_within(F.col("_row"), what, limit)).drop("_row"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import order_rules as rules
+from ..functions.bounded import bounded_broadcast
 from ..functions.durations import elapsed_days
 from ..functions.order_rules import ReviewRule
 from ..schemas import EXPORT_COLUMNS
@@ -24,16 +25,22 @@ def _coded(df: DataFrame, column: str, code: str) -> DataFrame:
     return values.withColumn(code, F.row_number().over(Window.orderBy(column)))
 
 
-def item_summary(items: DataFrame, products: DataFrame, translation: DataFrame, sellers: DataFrame) -> DataFrame:
+def item_summary(
+    items: DataFrame, products: DataFrame, translation: DataFrame, sellers: DataFrame, few_labels: bool = True
+) -> DataFrame:
     """One row per order with items.
 
     Labels travel as integer codes of their vocabulary, attached to products and sellers, so the item-level
     aggregation has only fixed-width buffers and stays a generated hash aggregation. Distinct sellers and
     categories are counted through (order, value) pre-aggregation, so an order with very many items is spread
-    over tasks and never gathered as a set.
+    over tasks and never gathered as a set. The vocabularies are broadcast under a row limit, so that turning codes
+    back into labels does not shuffle the orders; ``few_labels=False`` joins vocabularies of any size.
     """
     categories = _coded(products, "product_category_name", "category_code")
     states = _coded(sellers, "seller_state", "state_code")
+    if few_labels:
+        categories = bounded_broadcast(categories, "categories", "category_code")
+        states = bounded_broadcast(states, "seller states", "state_code")
     coded_products = products.join(categories, "product_category_name", "left").select(
         "product_id", "category_code", "product_weight_g"
     )
@@ -61,6 +68,8 @@ def item_summary(items: DataFrame, products: DataFrame, translation: DataFrame,
     category = F.when(F.col("category_count") > 1, "mixed_categories").otherwise(
         F.coalesce("_label", F.lit("unknown"))
     )
+    if few_labels:
+        labels = F.broadcast(labels)
     return (
         grouped.join(labels, "category_code", "left")
         .join(states, "state_code", "left")

@@ -7,13 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import bounded_broadcast
+
 
 def exact_percentiles(
     df: DataFrame,
     value: Column,
     percentiles: Mapping[str, float],
     by: Sequence[str] = (),
-    accuracy: int = 10_000,
+    accuracy: int = 2_000,
     few_groups: bool = True,
 ) -> DataFrame:
     """One row per group with one exact percentile per entry of ``percentiles`` (column name -> fraction).
@@ -23,8 +25,8 @@ def exact_percentiles(
     minimum and maximum, the stretches between them. The ranks are read off the running counts. A rank
     outside its bracket would raise an error rather than return an approximation.
 
-    The brackets, one short row per group, are broadcast, so that the rows themselves are not shuffled. That fits
-    months, states or feature names; with ``few_groups=False`` any number of groups is joined by shuffle.
+    The brackets, one short row per group, are broadcast under a row limit, so that the rows themselves are not
+    shuffled. That fits months, states or feature names; with ``few_groups=False`` any number of groups is joined by shuffle.
     """
     wanted = sorted(percentiles.items(), key=lambda item: item[1])
     slack = 2 / accuracy
@@ -39,7 +41,7 @@ def exact_percentiles(
     if keys:
         right = sketch.select(*(F.col(k).alias(f"{k}_r") for k in keys), "_total", "_marks")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
-        marked = rows.join(F.broadcast(right) if few_groups else right, same).select(*keys, "_v", "_total", "_marks")
+        marked = rows.join(bounded_broadcast(right, "groups") if few_groups else right, same).select(*keys, "_v", "_total", "_marks")
     else:
         one = sketch.select(F.struct("_total", "_marks").alias("s")).scalar()
         marked = rows.withColumn("_s", one).select("_v", "_s._total", "_s._marks")

@@ -34,10 +34,15 @@ def ranked_scores(df: DataFrame, label: str, score: str, cell_rows: int = 1_000_
     counts = score_counts(df, label, score).withColumn(
         "bin", F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(_BINS - 1)).cast("int")
     )
-    # At most 4096 rows, one per bin.
-    sizes = counts.groupBy("bin").agg(F.ceil(F.sum(F.col("pos") + F.col("neg")) / F.lit(cell_rows)).alias("parts"))
-    cells = counts.join(F.broadcast(sizes), "bin").withColumn(
-        "cell", F.floor((position - F.col("bin")) * F.col("parts"))
+    # At most 4096 rows, one per bin: how many cells it needs, and the range of scores they share.
+    sizes = counts.groupBy("bin").agg(
+        F.ceil(F.sum(F.col("pos") + F.col("neg")) / F.lit(cell_rows)).alias("parts"),
+        F.min("score").alias("lowest"),
+        F.max("score").alias("highest"),
+    )
+    share = F.try_divide(F.col("score") - F.col("lowest"), F.col("highest") - F.col("lowest"))
+    cells = counts.join(F.broadcast(sizes), "bin").select(
+        "score", "pos", "neg", "bin", F.floor(F.coalesce(share, F.lit(0.0)) * F.col("parts")).alias("cell")
     )
 
     # One row per cell, at most 4096 + rows / cell_rows of them, so one task can add them up.

@@ -6,10 +6,13 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-# Quoted fields may hold line breaks, and quotes inside them are doubled.
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+# Tables with free text, whose quoted fields may hold line breaks. Such files cannot be split between tasks, so large
+# ones should arrive as many files.
+FREE_TEXT_TABLES = ("reviews",)
 
 
 def require_sources(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -25,16 +28,32 @@ def require_sources(spark: SparkSession, paths: Iterable[str]) -> None:
         raise FileNotFoundError(f"missing source tables: {', '.join(missing)}")
 
 
+def _by_header(spark: SparkSession, path: str, declared: StructType, multi_line: bool) -> StructType:
+    """Declared types in the order of the file's header; columns that were not declared pass through as text."""
+    header = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path).columns
+    missing = [name for name in declared.names if name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
+    return StructType([declared[n] if n in declared.names else StructField(n, StringType()) for n in header])
+
+
 def scan_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, ts_format: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType | None = None,
+    ts_format: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Headed CSV with a declared schema; without one the types are inferred, which costs a second read."""
-    reader = spark.read.options(**CSV_OPTIONS)
+    """Headed CSV with declared types, matched by column name; unreadable values become NULL.
+
+    Without a schema the types are inferred, which costs a second read of the data.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
     if ts_format:
         reader = reader.option("timestampNTZFormat", ts_format)
     if schema is None:
         return reader.option("inferSchema", True).option("prefersDate", True).csv(path)
-    return reader.schema(schema).csv(path)
+    return reader.schema(_by_header(spark, path, schema, multi_line)).csv(path)
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +79,10 @@ def read_tables(
     }
     require_sources(spark, paths.values())
     if fmt == "csv":
-        return {name: scan_csv(spark, path, schemas[name], ts_format) for name, path in paths.items()}
+        return {
+            name: scan_csv(spark, path, schemas[name], ts_format, name in FREE_TEXT_TABLES)
+            for name, path in paths.items()
+        }
     return {name: spark.read.schema(schemas[name]).format(fmt).load(path) for name, path in paths.items()}
 
 

@@ -104,6 +104,11 @@ def test_review_ties(make_tables):
     assert got == {"o1": 4, "o2": 5, "o3": 2, "o4": 3}
 
 
+def test_vocabularies_of_any_size(five):
+    parts = [five[n] for n in ("items", "products", "translation", "sellers")]
+    assert sorted(M.item_summary(*parts, few_labels=False).collect()) == sorted(M.item_summary(*parts).collect())
+
+
 def test_hot_order_against_sql(spark):
     """One order holds a third of all items and reviews; the result must equal plain SQL."""
     rng = random.Random(5)

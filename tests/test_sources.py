@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from conftest import FIVE_ORDERS, at
 from parcelmart.operators.mart import bi_export, build_mart
@@ -12,6 +13,10 @@ from parcelmart.schemas import EXPORT_COLUMNS, SOURCE_SCHEMAS
 from parcelmart.sources import readers, sinks, staging
 
 
+def _text(*names):
+    return StructType([StructField(n, StringType()) for n in names])
+
+
 def _write_sources(directory):
     for name, schema in SOURCE_SCHEMAS.items():
         with open(f"{directory}/{name}.csv", "w") as out:
@@ -36,15 +41,33 @@ def test_missing_files_are_named(spark, tmp_path):
 
 def test_quoted_line_breaks_and_quotes(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,text\n1,"two\nlines"\n2,"a ""quoted"" word, and comma"\n')
-    got = [tuple(r) for r in readers.scan_csv(spark, str(tmp_path / "t.csv")).orderBy("id").collect()]
+    got = [tuple(r) for r in readers.scan_csv(spark, str(tmp_path / "t.csv"), multi_line=True).orderBy("id").collect()]
     assert got == [(1, "two\nlines"), (2, 'a "quoted" word, and comma')]
-    sinks.write(readers.scan_csv(spark, str(tmp_path / "t.csv")), str(tmp_path / "copy"), "csv")
-    assert sorted(tuple(r) for r in readers.scan_csv(spark, str(tmp_path / "copy")).collect()) == got
+    sinks.write(readers.scan_csv(spark, str(tmp_path / "t.csv"), multi_line=True), str(tmp_path / "copy"), "csv")
+    assert sorted(tuple(r) for r in readers.scan_csv(spark, str(tmp_path / "copy"), multi_line=True).collect()) == got
+
+
+def test_columns_are_matched_by_header_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("customer_city,customer_state,customer_id\nx,SP,1\n")
+    got = readers.scan_csv(spark, str(tmp_path / "c.csv"), SOURCE_SCHEMAS["customers"])
+    assert got.first().asDict() == {"customer_city": "x", "customer_state": "SP", "customer_id": "1"}
+    with pytest.raises(ValueError, match="seller_id"):
+        readers.scan_csv(spark, str(tmp_path / "c.csv"), SOURCE_SCHEMAS["sellers"])
+
+
+def test_unreadable_values_become_null(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(
+        "review_id,order_id,review_score,review_creation_date,review_answer_timestamp\n"
+        "r1,o1,5,2018-01-02,2018-01-03 04:05:06\nr2,o2,five,2018-01-02,tomorrow\n"
+    )
+    rows = readers.scan_csv(spark, str(tmp_path / "r.csv"), SOURCE_SCHEMAS["reviews"]).orderBy("review_id").collect()
+    assert tuple(rows[0]) == ("r1", "o1", 5, datetime(2018, 1, 2), datetime(2018, 1, 3, 4, 5, 6))
+    assert tuple(rows[1]) == ("r2", "o2", None, datetime(2018, 1, 2), None)
 
 
 def test_unreadable_timestamps_become_null(spark, tmp_path):
     (tmp_path / "t.csv").write_text("order_id,order_approved_at,shipped_date,other\n1,2018-01-02 03:04:05,2018-01-01,2018-01-01\n2,soon,,x\n")
-    df = readers.scan_csv(spark, str(tmp_path / "t.csv"), "order_id string, order_approved_at string, shipped_date string, other string")
+    df = readers.scan_csv(spark, str(tmp_path / "t.csv"), _text("order_id", "order_approved_at", "shipped_date", "other"))
     got = readers.coerce_timestamps(df)
     assert dict(got.dtypes)["order_approved_at"] == dict(got.dtypes)["shipped_date"] == "timestamp_ntz"
     assert dict(got.dtypes)["other"] == "string"
