@@ -189,7 +189,13 @@ def evaluate(
     false_negative: float = 25.0,
 ) -> DataFrame:
     """All metrics of one model in one row. ``alert`` is a condition on the column ``score``."""
-    rows = ranked_scores(df, label, score).withColumn("alert", alert)
+    return _metrics(ranked_scores(df, label, score), alert, model, false_positive, false_negative)
+
+
+def _metrics(
+    ranked: DataFrame, alert: Column, model: str, false_positive: float = 3.0, false_negative: float = 25.0
+) -> DataFrame:
+    rows = ranked.withColumn("alert", alert)
     alerted = lambda c: F.coalesce(F.sum(F.when(F.col("alert"), F.col(c))), F.lit(0))
     totals = rows.agg(
         _auc().alias("roc_auc"),
@@ -220,5 +226,7 @@ def constant_baseline(train: DataFrame, validation: DataFrame, test: DataFrame,
     alert_all = validation.agg(
         F.sum(error_cost(F.col(label), F.lit(True))) < F.sum(error_cost(F.col(label), F.lit(False)))
     ).scalar()
-    scored = test.select(label).withColumn("score", prevalence)
-    return evaluate(scored, label, "score", alert_all, "training_prevalence")
+    # A single distinct score: every row is at or above it.
+    one_score = score_counts(test.select(label).withColumn("score", prevalence), label, "score")
+    ranked = one_score.withColumns({"tp": F.col("pos"), "fp": F.col("neg")})
+    return _metrics(ranked, alert_all, "training_prevalence")
