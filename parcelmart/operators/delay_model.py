@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import CATEGORICAL, INFREQUENT, NUMERIC, fill_missing, medians, scaling, vocabulary
+from .features import CATEGORICAL, NUMERIC, fill_missing, medians, scaling, vocabulary
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
 BROADCAST_VALUES = 100_000
