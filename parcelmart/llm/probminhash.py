@@ -64,7 +64,7 @@ def signatures(rows: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
     arrival = np.zeros(len(value))
     live = np.arange(len(value))
     for i in range(m):
-        draw = mix(value[live] + _GOLD * np.uint64(2 * i + 1))
+        draw = mix(value[live] + np.uint64(int(_GOLD) * (2 * i + 1) % (1 << 64)))
         u = ((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
         arrival[live] -= np.log(u) / weight[live] * (m / (m - i))
         latest = time.reshape(n, m).max(axis=1)
