@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..sources.staging import fresh_path
+from .hash_arrays import BLOB, Tables, batches_of, grouped, new_folder, save, send, shard_count, to_shards, unpack_all
 from .textbytes import LOWER, RangeHash, blocks, flat_utf8, mix, sorted_counts, words
 
 #: Bits of a word's hash that n-grams keep: 48 of 64.
@@ -56,52 +55,8 @@ def context_columns(token: np.ndarray, text: np.ndarray, order: int) -> list[np.
     return columns
 
 
-_BLOB = "kind int, shard int, n long, body binary"
-
-
-def _pack(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Words as 6 bytes and values as 4 or 8, column after column, byte after byte: equal high bytes compress well."""
-    out = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes() for c in columns]
-    return b"".join(out + [np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for v in values])
-
-
-def _unpack(body: bytes, n: int, columns: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    raw, at, out = np.frombuffer(body, np.uint8), 0, []
-    for width in [6] * columns + [8] * values:
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, :width] = raw[at : at + n * width].reshape(width, n).T
-        out.append(whole.reshape(-1).view("<u8").astype(np.uint64))
-        at += n * width
-    return out[:columns], out[columns:]
-
-
-def _send(kind: int, key: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple]:
-    """One blob for each shard; a shard is a range of keys."""
-    bounds = np.searchsorted(key, _bounds(shards), "left")
-    for shard, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if j > i:
-            yield kind, shard, int(j - i), _pack([c[i:j] for c in columns], [v[i:j] for v in values])
-
-
-def _bounds(shards: int) -> np.ndarray:
-    return np.array([(i << 64) // shards for i in range(shards)] + [(1 << 64) - 1], dtype=np.uint64)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "shard", "n", "body"])
-
-
-def _batches(rows: Iterator[tuple], limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[3])
-        if size > limit:
-            yield _batch(held)
-            held, size = [], 0
-    if held:
-        yield _batch(held)
+def _gram_widths(words_n: int, values_n: int) -> list[int]:
+    return [6] * words_n + [8] * values_n
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[tuple]:
@@ -114,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterat
         columns = [np.concatenate([h[k] for h in held]) for k in range(order)]
         key = gram_hash(columns)
         key, at, count = sorted_counts(key, np.ones(len(key), np.uint64))
-        yield from _send(order, key, [c[at] for c in columns], [count], shards)
+        yield from send(order, key, [*(c[at] for c in columns), count], _gram_widths(order, 1), shards)
 
     for batch in batches:
         data, offsets = flat_utf8(batch.column(0))
@@ -130,30 +85,6 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterat
         yield from flush()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
-    """(kind, shard, blobs) from rows that arrive ordered by kind and shard."""
-    now, held = None, []
-    for batch in batches:
-        for kind, shard, n, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (kind, shard) != now:
-                if held:
-                    yield *now, held
-                now, held = (kind, shard), []
-            held.append((n, body))
-    if held:
-        yield *now, held
-
-
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Each array to a file of its own, under its final name only when whole: a task that runs twice does no harm."""
-    for part, array in arrays.items():
-        path = os.path.join(folder, f"{name}-{part}.npy")
-        own = f"{path}.{os.getpid()}-{np.random.default_rng().integers(1 << 62)}"
-        with open(own, "wb") as file:
-            np.save(file, array)
-        os.replace(own, path)
-
-
 def _statistics(level: int, **sums: float) -> Iterator[tuple]:
     names = ("n1", "n2", "n3", "n4", "total", "kinds", "tokens")
     body = np.array([float(sums.get(k, 0)) for k in names]).tobytes()
@@ -165,34 +96,32 @@ def _merge(batches: Iterator[pa.RecordBatch], shards: int, folder: str) -> Itera
 
     Kinds: k for n-grams of k words, -k for contexts of k-grams, 100 + k for the statistics of level k.
     """
-    for kind, shard, blobs in _grouped(batches):
+    for kind, shard, blobs in grouped(batches):
         if kind >= 100:
             for n, body in blobs:
                 yield kind, shard, n, body
             continue
-        columns_n, values_n = (kind, 2 if _raw(kind, blobs) else 1) if kind > 0 else (-kind - 1, 4)
-        parts = [_unpack(body, n, columns_n, values_n) for n, body in blobs]
-        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(columns_n)]
-        values = [np.concatenate([p[1][k] for p in parts]) for k in range(values_n)]
-        key, at, *sums = sorted_counts(gram_hash(columns), *values)
-        columns = [c[at] for c in columns]
+        words_n, values_n = (kind, 2 if _raw(kind, blobs) else 1) if kind > 0 else (-kind - 1, 4)
+        arrays = unpack_all(blobs, _gram_widths(words_n, values_n))
+        key, at, *sums = sorted_counts(gram_hash(arrays[:words_n]), *arrays[words_n:])
+        columns = [c[at] for c in arrays[:words_n]]
         if kind < 0:
-            _save(folder, f"context-{-kind}-{shard}", key=key, sums=np.stack([s.astype(np.float64) for s in sums], axis=1))
+            save(folder, f"context-{-kind}", shard, key=key, sums=np.stack([s.astype(np.float64) for s in sums], axis=1))
             continue
         value, raw = sums[0], sums[-1]
         if kind == 1:
-            _save(folder, f"gram-1-{shard}", key=key, value=value.astype(np.float64), raw=raw.astype(np.float64))
+            save(folder, "gram-1", shard, key=key, value=value.astype(np.float64), raw=raw.astype(np.float64))
         else:
-            _save(folder, f"gram-{kind}-{shard}", key=key, value=np.minimum(value, np.uint64(2**32 - 1)).astype(np.uint32))
+            save(folder, f"gram-{kind}", shard, key=key, value=np.minimum(value, np.uint64(2**32 - 1)).astype(np.uint32))
         few = np.bincount(np.minimum(value, 5).astype(np.int64), minlength=6)
         yield from _statistics(kind, n1=few[1], n2=few[2], n3=few[3], n4=few[4], total=value.sum(), kinds=len(key), tokens=raw.sum())
         if kind > 1:
             ones = np.ones(len(key), np.uint64)
             suffix, place, kinds, raws = sorted_counts(gram_hash(columns[1:]), ones, raw)
-            yield from _send(kind - 1, suffix, [c[place] for c in columns[1:]], [kinds, raws], shards)
+            yield from send(kind - 1, suffix, [*(c[place] for c in columns[1:]), kinds, raws], _gram_widths(kind - 1, 2), shards)
             classes = [(value == 1).astype(np.uint64), (value == 2).astype(np.uint64), (value > 2).astype(np.uint64)]
             context, place, *found = sorted_counts(gram_hash(columns[:-1]), value, *classes)
-            yield from _send(-kind, context, [c[place] for c in columns[:-1]], found, shards)
+            yield from send(-kind, context, [*(c[place] for c in columns[:-1]), *found], _gram_widths(kind - 1, 4), shards)
 
 
 def _raw(kind: int, blobs: list[tuple[int, bytes]]) -> bool:
@@ -201,14 +130,6 @@ def _raw(kind: int, blobs: list[tuple[int, bytes]]) -> bool:
     return len(body) == n * (6 * kind + 16)
 
 
-def local_folder(uri: str) -> str:
-    """Path of the model folder on the file system that all machines mount; mapping needs files."""
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"workers map the model's files: spark.checkpoint.dir must be a mounted folder, not {uri}")
-    return unquote(parts.path)
-
-
 def train(docs: DataFrame, order: int = 2, text: str = "text") -> dict:
     """Count a model over all rows of ``docs`` and write it; returns where it is and its few statistics.
 
@@ -219,15 +140,11 @@ def train(docs: DataFrame, order: int = 2, text: str = "text") -> dict:
     grow in number with the input. An empty table gives a model in which all words are unknown.
     """
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    shards = max(8, 4 * source.rdd.getNumPartitions())
-    uri = fresh_path(spark, "kneser-ney")
-    folder = local_folder(uri)
-    os.makedirs(folder, exist_ok=True)
-    sent = source.mapInArrow(lambda b: _batches(_count(b, order, shards)), _BLOB)
+    shards = shard_count(source)
+    folder = new_folder(docs.sparkSession, "kneser-ney")
+    sent = source.mapInArrow(lambda b: batches_of(_count(b, order, shards)), BLOB)
     for _ in range(order):
-        sent = sent.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard")
-        sent = sent.mapInArrow(lambda b: _batches(_merge(b, shards, folder)), _BLOB)
+        sent = to_shards(sent, shards).mapInArrow(lambda b: batches_of(_merge(b, shards, folder)), BLOB)
     sums = sent.filter("kind >= 100").select("kind", "body").mapInArrow(_numbers, "level int, sums array<double>")
     per_level = sums.groupBy("level").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(7))).alias("sums")).collect()
     return {"folder": folder, "order": order, "shards": shards, "levels": {r["level"]: list(r["sums"]) for r in per_level}}
@@ -256,38 +173,12 @@ class Model:
 
     def __init__(self, model: dict) -> None:
         self.__dict__.update(model)
-        self.bounds = _bounds(self.shards)
-        self.open: dict[str, np.ndarray | None] = {}
+        self.tables = Tables(self.folder, self.shards)
         empty = [0.0] * 7
         self.sums = {k: self.levels.get(k, empty) for k in range(1, self.order + 1)}
         self.discount = {k: discounts(s) for k, s in self.sums.items()}
         self.tokens, self.vocabulary = self.sums[1][6], self.sums[1][5]
 
-    def _file(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            path = os.path.join(self.folder, f"{name}.npy")
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.open[name]
-
-    def find(self, table: str, keys: np.ndarray, parts: dict[str, int]) -> list[np.ndarray]:
-        """Values of sorted distinct keys, 0 for unknown ones; parts: width of each value."""
-        out = [np.zeros((len(keys), width)) for width in parts.values()]
-        cuts = np.searchsorted(keys, self.bounds, "left")
-        for shard, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-            stored = self._file(f"{table}-{shard}-key") if j > i else None
-            if stored is None or not len(stored):
-                continue
-            place = np.minimum(np.searchsorted(stored, keys[i:j]), len(stored) - 1)
-            hit = np.flatnonzero(stored[place] == keys[i:j])
-            for array, part in zip(out, parts):
-                value = self._file(f"{table}-{shard}-{part}")[place[hit]]
-                array[i + hit] = value.reshape(len(hit), -1)
-        return out
-
-    def lookup(self, table: str, keys: np.ndarray, parts: dict[str, int]) -> list[np.ndarray]:
-        distinct, back = np.unique(keys, return_inverse=True)
-        return [v[back] for v in self.find(table, distinct, parts)]
-
     def _less(self, level: int, value: np.ndarray) -> np.ndarray:
         """Counts less their discounts."""
         d = np.array([0.0, *self.discount[level]])
@@ -299,7 +190,8 @@ class Model:
         Level by level from single words up: the discounted share among what follows the context, plus the mass the
         discounts freed times the level below; below the first level all words and one unknown are equally likely.
         """
-        value, raw = (v[:, 0] for v in self.lookup("gram-1", gram_hash(columns[-1:]), {"value": 1, "raw": 1}))
+        _, *found = self.tables.lookup("gram-1", gram_hash(columns[-1:]), {"value": 1, "raw": 1})
+        value, raw = (v[:, 0] for v in found)
         s, d = self.sums[1], self.discount[1]
         uniform = 1.0 / (self.vocabulary + 1)
         if s[4]:
@@ -309,8 +201,8 @@ class Model:
             p = np.full(len(value), uniform)
         for level in range(2, self.order + 1):
             own = columns[-level:]
-            (count,) = self.lookup(f"gram-{level}", gram_hash(own), {"value": 1})
-            (context,) = self.lookup(f"context-{level}", gram_hash(own[:-1]), {"sums": 4})
+            _, count = self.tables.lookup(f"gram-{level}", gram_hash(own), {"value": 1})
+            _, context = self.tables.lookup(f"context-{level}", gram_hash(own[:-1]), {"sums": 4})
             total = context[:, 0]
             known = total > 0
             safe = np.where(known, total, 1.0)
@@ -359,8 +251,6 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     rows = docs.drop(*(c for c in new if c != text))
     place = rows.columns.index(text)
-    from pyspark.sql.types import StructType
-
     fields = [f for f in rows.schema if f.name != text]
     added = StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = rows.mapInArrow(lambda b: _score(b, model, place), StructType([*fields, *added]))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, licenses, mixing, near_vectors, probminhash, quality, url_aliases
+from . import bpe, kneser_ney, licenses, mixing, near_vectors, pii, probminhash, quality, repeats, url_aliases
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +23,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def word_count(text: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
+
+
 def op1_url_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return url_aliases.judge_urls(_table(spark, folder, "pages"))
 
@@ -56,10 +60,13 @@ def op6_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
-    return mixing.mix_sources(docs.select("doc_id", "source", size.alias("size"))).drop("source", "copies")
+    return mixing.mix_sources(docs.select("doc_id", "source", word_count("text").alias("size"))).drop("source", "copies")
 
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +74,11 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_documents(docs, ranks_path()).drop("text")
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every copy of a repeated string goes, the first one too: the query's contract."""
+    return repeats.remove_repeats(_table(spark, folder, "documents"), keep_first=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_quality_rules,
         op5_license_scan,
         op6_probminhash,
+        op7_personal_data,
         op8_source_mixing,
         op9_byte_bpe,
+        op10_repeats,
     )
 }
 
