@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -17,6 +18,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 5
+#: Classes of a bucket that are compared at once, with as many others.
+BLOCK_CLASSES = 1024
+#: Registers of the longer signatures that blocks compare.
+BLOCK_REGISTERS = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,17 +183,71 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of classes from their shingles: the low 32 bits of each register's owner."""
+    for batch in batches:
+        lists = batch.column("value")
+        count = np.asarray(lists.value_lengths())
+        value = lists.flatten().to_numpy().view(np.uint64)
+        weight = batch.column("weight").flatten().to_numpy()
+        owner = signatures(np.repeat(np.arange(len(count)), count), value, weight, len(count), BLOCK_REGISTERS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([o.tobytes() for o in owner], pa.binary())], names=["c", "registers"])
+
+
+def _block_pairs(similarity: float):
+    """Pairs of one or two blocks of a bucket that lie in different components and whose signatures come near ``similarity``."""
+    least = similarity - 3 * np.sqrt(similarity * (1 - similarity) / BLOCK_REGISTERS)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(block["low"].iloc[0]), int(block["high"].iloc[0])
+        sides = [block[block["own"] == low], block[block["own"] == high]]
+        a, b = (
+            (
+                np.frombuffer(b"".join(x["registers"]), np.uint32).reshape(-1, BLOCK_REGISTERS),
+                np.stack(x["bands"].to_list()) if len(x) else np.zeros((0, 1), np.int64),
+                np.array([bytes(c) for c in x["c"]], object),
+                np.array([bytes(c) for c in x["component"]], object),
+            )
+            for x in sides
+        )
+        band = int(block["band"].iloc[0])
+        out = []
+        for i in range(len(a[0])):
+            near = (b[0] == a[0][i]).sum(axis=1) >= least * BLOCK_REGISTERS
+            # A pair is settled in the first bucket it shares, and once.
+            near &= (b[3] != a[3][i]) & ~(b[1][:, :band] == a[1][i, :band]).any(axis=1)
+            if low == high:
+                near &= b[2] > a[2][i]
+            out += [(min(a[2][i], c), max(a[2][i], c)) for c in b[2][near]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, content: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose probability Jaccard is at least ``similarity``."""
+    side = lambda s: content.select(F.col("c").alias(s), F.col("value").alias(f"value_{s}"), F.col("weight").alias(f"weight_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
+
+
+def _placed(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with c) and the component of c."""
+    component = stage(connected_components(links).select(F.col("node").alias("c"), "component"), name)
+    return rows.join(component, "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, class_id (smallest key of its group), n_links, kept (key = class_id).
+    """One row per document: key, class_id (smallest key of its group), kept (key = class_id).
 
     Documents are linked if the probability Jaccard of their 5-word shingles (A-Z lower-cased, weighted by how
     often they occur) is at least ``similarity``; groups are the components. Copies of one shingle set are one class from the start.
     Classes that share a band are candidates; 25 bands of 5 registers find a pair at 0.8 but for 1 in 20,000.
 
-    Within a bucket pairs are not all made. A hub, the class with the most company in its buckets first, is verified against
-    the whole bucket; then components are formed, and while a bucket still holds two components with untried members, the
-    next hubs, four times as many each round, are tried against the members of other components. So every pair of a bucket is either verified or lies in one
-    component in the end. ``n_links`` counts copies and the links that were verified.
+    Within a bucket pairs are not all made. First its hub, the class with the most company in its buckets, is
+    verified against the others, and components are formed. What a bucket then holds of different components is dealt into blocks; pairs of
+    blocks compare signatures, and only pairs of different components that come within three deviations of
+    ``similarity`` are verified too. So a large group of near copies costs one pair a member, and no task holds a bucket.
 
     A text with one to four words is a single shingle; NULL texts and texts without words are linked with nothing. Rows that
     repeat a key are documents of their own; a NULL key names a group only if no other does. An empty table gives no rows.
@@ -196,92 +255,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, text: str =
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = pa.int64() if source.schema["key"].dataType.simpleString() in ("bigint", "int") else pa.string()
     key_sql = "long" if key_type == pa.int64() else "string"
+    source = source.withColumn("key", F.col("key").cast(key_sql))
     signed = stage(
-        source.select(F.col("key").cast(key_sql), "text").mapInArrow(
-            lambda batches: _sign(batches, key_type), f"key {key_sql}, c binary, bands array<long>"
-        ),
-        "text-signatures",
-    )
-    classes = stage(
-        signed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.first("bands").alias("bands")), "text-classes"
+        source.mapInArrow(lambda batches: _sign(batches, key_type), f"key {key_sql}, c binary, bands array<long>"), "text-signatures"
     )
-    buckets = classes.select("c", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "c")
+    classes = stage(signed.groupBy("c").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "text-classes")
+    entries = classes.select("c", F.posexplode("bands").alias("band", "value"))
+    buckets = entries.select(F.xxhash64("band", "value").alias("bucket"), "band", "c")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stage(buckets.join(sizes, "bucket"), "text-buckets")
-    company = shared.groupBy("c").agg(F.sum("size").alias("company"))
-    members = stage(shared.join(company, "c").select("bucket", "c", "company"), "text-members")
+    company = stage(shared.groupBy("c").agg(F.sum("size").alias("company")), "text-company")
 
     # Shingles of one text of each candidate class.
-    first_key = classes.join(company.select("c"), "c", "left_semi").select("c", "least")
+    first_key = classes.join(company, "c", "left_semi").select("c", "least")
     one = source.join(first_key, F.col("key").eqNullSafe(F.col("least"))).select("c", "text")
-    content = stage(
-        one.mapInArrow(_shingle_rows, "c binary, value array<long>, weight array<int>").dropDuplicates(["c"]),
-        "text-shingles",
-    )
-    links = signed.sparkSession.createDataFrame([], "a binary, b binary")
-    tried, component, round_number = [], None, 0
-    while True:
-        placed = members if component is None else members.join(component, "c", "left")
-        placed = placed.withColumn("component", F.col("c") if component is None else F.coalesce("component", "c"))
-        if tried:
-            hubs_before = tried[0]
-            for more in tried[1:]:
-                hubs_before = hubs_before.unionByName(more)
-            placed = placed.join(hubs_before.withColumn("was_hub", F.lit(True)), ["bucket", "c"], "left")
-        else:
-            placed = placed.withColumn("was_hub", F.lit(None).cast("boolean"))
-        open_members = placed.filter("was_hub is null")
-        parts = open_members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        still_open = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("components")).filter("components > 1").select("bucket")
-        rest = open_members.join(still_open, "bucket", "left_semi")
-        # The smallest components send hubs first: most of a bucket is in one by the second round.
-        order = Window.partitionBy("bucket").orderBy("size", F.col("company").desc(), "c")
-        hubs = stage(
-            rest.join(parts, ["bucket", "component"])
-            .withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= 4**round_number)
-            .select("bucket", F.col("c").alias("hub"), F.col("component").alias("hub_component")),
-            f"text-hubs-{round_number}",
-        )
-        if not hubs.limit(1).count():
-            break
-        watch = Observation()
-        pairs = (
-            rest.join(hubs, "bucket")
-            .filter("component <> hub_component")
-            .select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b"))
-            .distinct()
-        )
-        side = lambda s: content.select(
-            F.col("c").alias(s), F.col("value").alias(f"value_{s}"), F.col("weight").alias(f"weight_{s}")
-        )
-        found = stage(
-            pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
-            .observe(watch, F.count(F.lit(1)).alias("n")),
-            f"text-links-{round_number}",
-        )
-        tried.append(hubs.select("bucket", F.col("hub").alias("c")))
-        if watch.get["n"]:
-            links = links.unionByName(found)
-            component = stage(
-                connected_components(links).select(F.col("node").alias("c"), "component"), f"text-components-{round_number}"
-            )
-        elif component is None:
-            component = signed.sparkSession.createDataFrame([], "c binary, component binary")
-        round_number += 1
-
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = both.join(classes.select(F.col("c").alias("b"), "n"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("others"))
-    placed = classes.select("c", "n", "least").join(component, "c", "left") if component is not None else classes.withColumn("component", F.col("c"))
-    placed = placed.withColumn("component", F.coalesce("component", "c"))
-    least = placed.groupBy("component").agg(F.min("least").alias("class_id"))
-    info = placed.join(least, "component").join(beside, "c", "left").select(
-        "c", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    content = stage(one.mapInArrow(_shingle_rows, "c binary, value array<long>, weight array<int>").dropDuplicates(["c"]), "text-shingles")
+
+    hubs = shared.join(company, "c").groupBy("bucket").agg(F.max(F.struct("company", "c"))["c"].alias("hub"))
+    stars = shared.join(hubs, "bucket").filter("c <> hub")
+    stars = stars.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+    links = stage(_verified(stars, content, similarity), "text-star-links")
+
+    members = stage(_placed(shared, links, "text-star-components"), "text-members")
+    mixed = members.groupBy("bucket").agg(
+        (F.min("component") != F.max("component")).alias("several"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks")
     )
-    grouped = signed.select("key", "c").join(info, "c").select("key", "class_id", "n_links")
-    # Texts without words have no signature; they are counted back in by key.
-    wordless = source.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(
-        F.col("key").cast(key_sql), F.col("key").cast(key_sql).alias("class_id"), F.lit(0).cast("long").alias("n_links")
+    rest = members.join(mixed.filter("several").drop("several"), "bucket")
+    registers = content.join(rest.select("c"), "c", "left_semi").mapInArrow(_resign, "c binary, registers binary")
+    detail = stage(registers.join(classes.select("c", "bands"), "c"), "text-registers")
+    own = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    dealt = (
+        rest.select("bucket", "band", "c", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("bucket", "band", "c", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .join(detail, "c")
     )
+    pairs = dealt.groupBy("bucket", "low", "high").applyInPandas(_block_pairs(similarity), "a binary, b binary")
+    more = stage(_verified(stage(pairs, "text-pairs"), content, similarity), "text-block-links")
+
+    placed = _placed(classes.select("c", "least"), links.unionByName(more), "text-components")
+    named = placed.groupBy("component").agg(F.min("least").alias("class_id"))
+    grouped = signed.select("key", "c").join(placed.join(named, "component").select("c", "class_id"), "c").select("key", "class_id")
+    # Texts without words have no signature.
+    wordless = source.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("key", F.col("key").alias("class_id"))
     out = grouped.unionByName(wordless)
-    return out.select(F.col("key").alias(key), "class_id", "n_links", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select(F.col("key").alias(key), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
