@@ -196,7 +196,6 @@ def _resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block_pairs(similarity: float):
     """Pairs of one or two blocks of a bucket that lie in different components and whose signatures come near ``similarity``."""
-    least = similarity - 3 * np.sqrt(similarity * (1 - similarity) / BLOCK_REGISTERS)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         low, high = int(block["low"].iloc[0]), int(block["high"].iloc[0])
@@ -213,12 +212,15 @@ def _block_pairs(similarity: float):
         band = int(block["band"].iloc[0])
         out = []
         for i in range(len(a[0])):
-            near = (b[0] == a[0][i]).sum(axis=1) >= least * BLOCK_REGISTERS
             # A pair is settled in the first bucket it shares, and once.
-            near &= (b[3] != a[3][i]) & ~(b[1][:, :band] == a[1][i, :band]).any(axis=1)
+            open_pair = (b[3] != a[3][i]) & ~(b[1][:, :band] == a[1][i, :band]).any(axis=1)
             if low == high:
-                near &= b[2] > a[2][i]
-            out += [(min(a[2][i], c), max(a[2][i], c)) for c in b[2][near]]
+                open_pair &= b[2] > a[2][i]
+            at = np.flatnonzero(open_pair)
+            for n, sure in ((REGISTERS, 4.0), (BLOCK_REGISTERS, 3.0)):
+                floor = similarity - sure * np.sqrt(similarity * (1 - similarity) / n)
+                at = at[(b[0][at, :n] == a[0][i, :n]).sum(axis=1) >= floor * n]
+            out += [(min(a[2][i], c), max(a[2][i], c)) for c in b[2][at]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
