@@ -27,22 +27,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     combined before the shuffle and the join may be split. Steps are written to the checkpoint folder; the number of
     steps grows with the logarithm of the longest path. Edges with a NULL end and loops are left out.
     """
-    tidy = (
+    current = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("_two"))
         .filter("_two")
         .select("a", "b")
-        .distinct()
+        .distinct(),
+        "components",
     )
-    seen = None
-    current = tidy
-    while True:
+    seen, some = None, current.limit(1).count()
+    while some:
         watch = Observation()
         step = _small_star(_large_star(current))
         current = stage(
             step.observe(watch, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "components"
         )
         now = (watch.get["n"], watch.get["x"])
-        if now == seen or not now[0]:
+        if now == seen:
             break
         seen = now
     roots = current.select(F.col("b").alias("node")).distinct()
