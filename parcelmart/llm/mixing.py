@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import stage
 
 #: Documents of one source are dealt into blocks of about this many for the first rounding.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 #: Left-over fractions that one task of the reduction tree combines.
 FAN_IN = 1_000
 
