@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import held
+
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -135,11 +137,11 @@ def scan(
     base = {p: template_words(p) for p in phrases}
     mandatory = {m: template_words(m) for t in templates for m in t.mandatory}
     every = {**base, **mandatory}
-    rows = docs.withColumn("_words", _words(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.withColumn("_words", held(_words(F.coalesce(F.col(text), F.lit("")))))
     wanted = sorted({*index.postings, *(w[0] for w in every.values())})
     hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_hits", hits)
-    rows = rows.withColumns({f"_p{k}": _places("_words", "_hits", w) for k, w in enumerate(every.values())})
+    rows = rows.withColumn("_hits", held(hits))
+    rows = rows.withColumns({f"_p{k}": held(_places("_words", "_hits", w)) for k, w in enumerate(every.values())})
     place = {p: f"_p{k}" for k, p in enumerate(every)}
     starts = F.concat(*(F.col(place[p]) for p in base))
     rows = rows.withColumns(
@@ -163,7 +165,7 @@ def scan(
     # The file's rare words: (idf, word), highest first; only the first places of the ranking are looked up.
     in_file = F.array_distinct(F.filter(F.transform("_hits", lambda i: F.get("_words", i)), lambda w: w.isin(sorted(index.postings))))
     ranked = F.sort_array(F.transform(in_file, lambda w: F.struct(lookup(w, index.idf, F.lit(0.0)).alias("idf"), w.alias("w"))), False)
-    rows = rows.withColumn("_rare", F.transform(F.slice(ranked, 1, top), lambda x: x["w"]))
+    rows = rows.withColumn("_rare", held(F.transform(F.slice(ranked, 1, top), lambda x: x["w"])))
 
     def posting_array(word: Column) -> Column:
         out = None
@@ -184,7 +186,7 @@ def scan(
             ),
         )
     )
-    rows = rows.withColumn("_votes", F.when(F.size("_rare") >= 2, F.sort_array(votes)))
+    rows = rows.withColumn("_votes", held(F.when(F.size("_rare") >= 2, F.sort_array(votes))))
     # One pass over the ordered votes: running sum of votes for the same beginning, and per template the best sum.
     zero = F.struct(
         F.lit(-1).alias("t"),
@@ -199,7 +201,7 @@ def scan(
         best = F.transform(state["best"], lambda x, k: F.when(k == vote["t"], F.greatest(x, total)).otherwise(x))
         return F.struct(vote["t"].alias("t"), vote["b"].alias("b"), total.alias("sum"), best.alias("best"))
 
-    rows = rows.withColumn("_best", F.when(F.col("_votes").isNotNull(), F.aggregate("_votes", zero, add)["best"]))
+    rows = rows.withColumn("_best", held(F.when(F.col("_votes").isNotNull(), F.aggregate("_votes", zero, add)["best"])))
     shares, labels = [], []
     for k, t in enumerate(templates):
         # A file's looked-up words can add up to this much of the template at most.

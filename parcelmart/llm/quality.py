@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .columns import held
 
 #: Buckets of the hashed n-gram multinomials.
 BUCKETS = 10_000
@@ -41,8 +42,8 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.withColumns(
         {
-            "_hashes": word_hashes(whole),
-            "_lines": lines,
+            "_hashes": held(word_hashes(whole)),
+            "_lines": held(lines),
             "word_chars": F.length(F.regexp_replace(whole, _WHITE, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long"),
         }
@@ -51,15 +52,17 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "n_words": F.size("_hashes").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": _each(
-                _sequence(2, F.size("_hashes") - 1),
-                lambda i: F.xxhash64(F.get("_hashes", i - 2), F.get("_hashes", i - 1), F.get("_hashes", i)),
+            "_windows": held(
+                _each(
+                    _sequence(2, F.size("_hashes") - 1),
+                    lambda i: F.xxhash64(F.get("_hashes", i - 2), F.get("_hashes", i - 1), F.get("_hashes", i)),
+                )
             ),
         }
     )
     ordered = F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     rows = rows.withColumn(
-        "_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered)
+        "_ordered", held(F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ordered))
     )
     twice = F.transform(
         F.filter(
@@ -76,7 +79,7 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda x: x["i"],
     )
-    rows = rows.withColumn("_starts", F.sort_array(twice))
+    rows = rows.withColumn("_starts", held(F.sort_array(twice)))
     # Words covered by windows of three that start at the (ordered) places: three for each, less the overlap with the one before.
     covered = F.aggregate(
         F.transform("_starts", lambda s, i: F.least(F.lit(3), s - F.coalesce(F.get("_starts", i - 1), F.lit(-3)))),
@@ -105,7 +108,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, text: s
     marks = trusted.select(F.col(key).alias("_key")).distinct().withColumn("_trusted", F.lit(1))
     def grams(rows: DataFrame) -> DataFrame:
         # The hashes are a column of their own: inside the lambdas of buckets() they would be made anew for each word.
-        hashed = rows.select(word_hashes(_text(text)).alias("_hashes"))
+        hashed = rows.select(held(word_hashes(_text(text))).alias("_hashes"))
         return hashed.select(F.explode(buckets(F.col("_hashes"), n)).alias("bucket")).groupBy("bucket")
 
     listed = trusted.select(F.col(key)).distinct()
