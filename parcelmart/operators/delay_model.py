@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from .features import CATEGORICAL, NUMERIC, fill_missing, medians, scaling, vocabulary
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
-BROADCAST_VALUES = 100_000
-ROWS_PER_TASK = 100_000
-
 
 @dataclass
 class DelayModel:
@@ -25,7 +22,6 @@ class DelayModel:
     means: dict[str, float]
     deviations: dict[str, float]
     categories: DataFrame
-    category_rows: int
     labels: dict[str, list[str]]
     encoder: OneHotEncoderModel
     classifier: LogisticRegressionModel | None = None
@@ -37,14 +33,12 @@ class DelayModel:
 
 
 def _with_positions(df: DataFrame, model: DelayModel) -> DataFrame:
-    """Category positions by join; broadcast only while the fitted table is small. Unseen values get the position
+    """Category positions by join, as Spark's size check decides. Unseen values get the position
     after the last one, which the encoder turns into an all-zero vector."""
     for c in CATEGORICAL:
         side = model.categories.filter(F.col("feature") == c).select(
             F.col("value").alias(c), F.col("place").cast("double").alias(f"{c}_place")
         )
-        if model.category_rows <= BROADCAST_VALUES:
-            side = F.broadcast(side)
         unseen = float(len(model.labels[c]))
         df = df.join(side, c, "left").fillna(unseen, [f"{c}_place"])
     return df
@@ -68,12 +62,10 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
     stats = scaling(filled).first()
     categories = vocabulary(filled, min_frequency).select("feature", "value", "label", "place").persist()
     labels: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
-    category_rows = 0
     # One row per output column of the model, whose coefficients the driver holds anyway.
     outputs = categories.groupBy("feature", "label", "place").agg(F.count(F.lit(1)).alias("n"))
     for row in sorted(outputs.collect(), key=lambda r: (r["feature"], r["place"])):
         labels[row["feature"]].append(row["label"])
-        category_rows += row["n"]
     # The encoder only needs to know how many positions each category has.
     positions = [
         F.lit(0.0).alias(f"{c}_place", metadata={"ml_attr": {"type": "nominal", "num_vals": len(labels[c])}})
@@ -90,7 +82,6 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
         {c: stats[f"{c}_mean"] for c in NUMERIC},
         {c: stats[f"{c}_std"] or 1.0 for c in NUMERIC},
         categories,
-        category_rows,
         labels,
         encoder,
     )
@@ -110,8 +101,7 @@ def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: i
         maxIter=max_iter,
         tol=tol,
     )
-    # Each iteration is one job over all partitions; tiny partitions would only add scheduling.
-    model.classifier = estimator.fit(rows.coalesce(max(1, n // ROWS_PER_TASK)))
+    model.classifier = estimator.fit(rows)
     rows.unpersist()
     return model
 

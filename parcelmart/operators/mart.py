@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import order_rules as rules
-from ..functions.bounded import bounded_broadcast
 from ..functions.durations import elapsed_days
 from ..functions.order_rules import ReviewRule
 from ..schemas import EXPORT_COLUMNS
@@ -19,72 +18,60 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_position", F.row_number().over(window)).filter("_position = 1").drop("_position")
 
 
-def _coded(df: DataFrame, column: str, code: str) -> DataFrame:
-    """The distinct values of a label column, numbered. The numbering window sees only the vocabulary."""
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    return values.withColumn(code, F.row_number().over(Window.orderBy(column)))
-
-
 def item_summary(
-    items: DataFrame, products: DataFrame, translation: DataFrame, sellers: DataFrame, few_labels: bool = True
+    items: DataFrame,
+    products: DataFrame,
+    translation: DataFrame,
+    sellers: DataFrame,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per order with items.
+    """One row per order with items; given ``orders``, items of other orders are left out.
 
-    Labels travel as integer codes of their vocabulary, attached to products and sellers, so the item-level
-    aggregation has only fixed-width buffers and stays a generated hash aggregation. Distinct sellers and
-    categories are counted through (order, value) pre-aggregation, so an order with very many items is spread
-    over tasks and never gathered as a set. The vocabularies are broadcast under a row limit, so that turning codes
-    back into labels does not shuffle the orders; ``few_labels=False`` joins vocabularies of any size.
+    Items are first added up by (order, seller, category), so a hot order is combined before the shuffle and what is
+    left of it is one row per seller and category. Labels travel as text with those rows, and their least and
+    greatest value tell whether an order has one or several; dimensions are joined once and left to Spark's size check.
     """
-    categories = _coded(products, "product_category_name", "category_code")
-    states = _coded(sellers, "seller_state", "state_code")
-    if few_labels:
-        categories = bounded_broadcast(categories, "categories", "category_code")
-        states = bounded_broadcast(states, "seller states", "state_code")
-    coded_products = products.join(categories, "product_category_name", "left").select(
-        "product_id", "category_code", "product_weight_g"
+    labelled = products.join(translation, "product_category_name", "left").select(
+        "product_id", "product_category_name", "product_category_name_english", "product_weight_g"
     )
-    coded_sellers = sellers.join(states, "seller_state", "left").select("seller_id", "state_code")
-    grouped = (
-        items.select("order_id", "product_id", "seller_id", "price", "freight_value")
-        .join(coded_products, "product_id", "left")
-        .join(coded_sellers, "seller_id", "left")
-        .groupBy("order_id")
+    rows = items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+    if orders is not None:
+        rows = rows.join(orders.select("order_id"), "order_id", "left_semi")
+    parts = (
+        rows.join(labelled, "product_id", "left")
+        .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        .groupBy("order_id", "seller_id", "seller_state", "product_category_name", "product_category_name_english")
         .agg(
-            F.count(F.lit(1)).alias("item_count"),
-            F.count_distinct("seller_id").alias("seller_count"),
-            F.sum("price").alias("item_value_brl"),
-            F.sum("freight_value").alias("freight_charged_brl"),
-            F.count_distinct("category_code").alias("category_count"),
-            F.avg("product_weight_g").alias("mean_weight_g"),
-            F.max("category_code").alias("category_code"),
-            F.min("state_code").alias("state_code"),
-            F.max("state_code").alias("_other_state_code"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("price").alias("price"),
+            F.sum("freight_value").alias("freight"),
+            F.sum("product_weight_g").alias("weight"),
+            F.count("product_weight_g").alias("weighed"),
         )
     )
-    labels = categories.join(translation, "product_category_name", "left").select(
-        "category_code", F.col("product_category_name_english").alias("_label")
+    grouped = parts.groupBy("order_id").agg(
+        F.sum("n").alias("item_count"),
+        F.count_distinct("seller_id").alias("seller_count"),
+        F.sum("price").alias("item_value_brl"),
+        F.sum("freight").alias("freight_charged_brl"),
+        F.count_distinct("product_category_name").alias("category_count"),
+        F.try_divide(F.sum("weight"), F.sum("weighed")).alias("mean_weight_g"),
+        F.max("product_category_name_english").alias("_label"),
+        F.min("seller_state").alias("one_seller_state"),
+        F.max("seller_state").alias("_other_state"),
     )
-    category = F.when(F.col("category_count") > 1, "mixed_categories").otherwise(
-        F.coalesce("_label", F.lit("unknown"))
-    )
-    if few_labels:
-        labels = F.broadcast(labels)
-    return (
-        grouped.join(labels, "category_code", "left")
-        .join(states, "state_code", "left")
-        .select(
-            "order_id",
-            "item_count",
-            "seller_count",
-            "item_value_brl",
-            "freight_charged_brl",
-            "category_count",
-            category.alias("category"),
-            "mean_weight_g",
-            F.col("seller_state").alias("one_seller_state"),
-            (F.col("state_code") != F.col("_other_state_code")).alias("several_seller_states"),
-        )
+    category = F.when(F.col("category_count") > 1, "mixed_categories").otherwise(F.coalesce("_label", F.lit("unknown")))
+    return grouped.select(
+        "order_id",
+        "item_count",
+        "seller_count",
+        "item_value_brl",
+        "freight_charged_brl",
+        "category_count",
+        category.alias("category"),
+        "mean_weight_g",
+        "one_seller_state",
+        (F.col("one_seller_state") != F.col("_other_state")).alias("several_seller_states"),
     )
 
 
@@ -163,7 +150,7 @@ def with_outcomes(df: DataFrame, rule: ReviewRule = ReviewRule()) -> DataFrame:
 
 
 def build_mart(tables: Mapping[str, DataFrame], rule: ReviewRule = ReviewRule()) -> DataFrame:
-    summary = item_summary(tables["items"], tables["products"], tables["translation"], tables["sellers"])
+    summary = item_summary(tables["items"], tables["products"], tables["translation"], tables["sellers"], tables["orders"])
     context = join_order_context(
         tables["orders"], tables["customers"], summary, first_review(tables["reviews"], rule)
     )

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bounded import bounded_broadcast
+#: Ranges into which a group's candidate values are cut before they are ordered.
+_RANGES = 64
 
 
 def exact_percentiles(
@@ -16,17 +17,14 @@ def exact_percentiles(
     percentiles: Mapping[str, float],
     by: Sequence[str] = (),
     accuracy: int = 2_000,
-    few_groups: bool = True,
 ) -> DataFrame:
     """One row per group with one exact percentile per entry of ``percentiles`` (column name -> fraction).
 
     The built-in exact percentile holds every distinct value of a group in memory. Here a mergeable sketch first
     brackets each wanted rank; then one aggregation keeps the values inside the brackets and only counts, with
-    minimum and maximum, the stretches between them. The ranks are read off the running counts. A rank
-    outside its bracket would raise an error rather than return an approximation.
-
-    The brackets, one short row per group, are broadcast under a row limit, so that the rows themselves are not
-    shuffled. That fits months, states or feature names; with ``few_groups=False`` any number of groups is joined by shuffle.
+    minimum and maximum, the stretches between them. What is kept is cut into ranges of about as many values each, the
+    ranges are added up in order (at most ``_RANGES`` + 1 rows per group), and values are ordered inside their range only. The
+    ranks are read off the running counts. Brackets are joined to their rows as Spark's size check decides.
     """
     wanted = sorted(percentiles.items(), key=lambda item: item[1])
     slack = 2 / accuracy
@@ -41,7 +39,7 @@ def exact_percentiles(
     if keys:
         right = sketch.select(*(F.col(k).alias(f"{k}_r") for k in keys), "_total", "_marks")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
-        marked = rows.join(bounded_broadcast(right, "groups") if few_groups else right, same).select(*keys, "_v", "_total", "_marks")
+        marked = rows.join(right, same).select(*keys, "_v", "_total", "_marks")
     else:
         one = sketch.select(F.struct("_total", "_marks").alias("s")).scalar()
         marked = rows.withColumn("_s", one).select("_v", "_s._total", "_s._marks")
@@ -61,8 +59,29 @@ def exact_percentiles(
             F.max("_total").alias("_total"),
         )
     )
-    running = Window.partitionBy(*keys).orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
-    placed = segments.withColumn("_end", F.sum("_n").over(running)).withColumn("_start", F.col("_end") - F.col("_n"))
+    fractions = [i / _RANGES for i in range(1, _RANGES)]
+    borders = segments.groupBy(*keys).agg(F.percentile_approx("_low", fractions, 1_000).alias("_borders"))
+    cell = F.size(F.filter("_borders", lambda x: x < F.col("_low")))
+    if keys:
+        right = borders.select(*(F.col(k).alias(f"{k}_b") for k in keys), "_borders")
+        split = segments.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in keys])
+    else:
+        split = segments.withColumn("_borders", borders.scalar())
+    split = split.select(*keys, "_n", "_low", "_high", "_total", cell.alias("_cell"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = split.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_in_cell"))
+    offsets = per_cell.select(
+        *(F.col(k).alias(f"{k}_o") for k in keys),
+        F.col("_cell").alias("_cell_o"),
+        F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before"),
+    )
+    match = [F.col("_cell") == F.col("_cell_o"), *(F.col(k).eqNullSafe(F.col(f"{k}_o")) for k in keys)]
+    running = Window.partitionBy(*keys, "_cell").orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        split.join(offsets, match)
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(running))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+    )
 
     def at(rank: Column) -> Column:
         known = (

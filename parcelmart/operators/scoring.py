@@ -22,8 +22,11 @@ THRESHOLDS = [0.01 + i * 0.01 for i in range(99)]
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Counts per distinct score. A NULL score or label is refused: it has no place in a ranking."""
+    missing = F.col(score).isNull() | F.col(label).isNull()
+    known = F.when(missing, F.raise_error(F.lit("NULL score or label")).cast("double")).otherwise(F.col(score).cast("double"))
     positive = F.col(label).cast("int") == 1
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    return df.groupBy(known.alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
 

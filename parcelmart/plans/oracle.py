@@ -372,6 +372,14 @@ ORACLE: dict[str, str] = {
     "scan_csv": _source(
         "order_id:i order_item_id:i product_id:i seller_id:i price:d freight_value:d", "SELECT * FROM raw_items"
     ),
+    "scan_csv_mixed_headers": _source(
+        "order_id:i order_item_id:i product_id:i seller_id:i price:d freight_value:d", "SELECT * FROM raw_items"
+    ),
+    "percentiles_by_customer": _mart(
+        "customer_id:i p50:d p90:d",
+        "SELECT customer_id, quantile_cont(delivery_days, 0.5) AS p50, quantile_cont(delivery_days, 0.9) AS p90 FROM mart"
+        " WHERE customer_id IS NOT NULL AND delivery_days IS NOT NULL GROUP BY 1",
+    ),
     "scan_csv_infer": _mart(_STATE_REPLAY, _replayed(1)),
     "coerce_timestamps": _source(
         "order_id:i order_purchase_timestamp:s order_approved_at:s order_delivered_carrier_date:s"

@@ -131,6 +131,22 @@ def _(spark, directory):
     return readers.scan_csv(spark, path, items.schema)
 
 
+@query("scan_csv_mixed_headers")
+def _(spark, directory):
+    items = star.load_sources(spark, directory)["items"]
+    path = staging.fresh_path(spark, "items-mixed-csv")
+    odd = F.pmod(F.xxhash64("order_id"), F.lit(2)) == 1
+    sinks.write(items.filter(odd), f"{path}/a", "csv")
+    sinks.write(items.filter(~odd).select(*reversed(items.columns)), f"{path}/b", "csv")
+    return readers.scan_csv(spark, f"{path}/*", items.schema).select(*items.columns)
+
+
+@query("percentiles_by_customer")
+def _(spark, directory):
+    delivered = staged_mart(spark, directory).filter(F.col("customer_id").isNotNull() & F.col("delivery_days").isNotNull())
+    return quantiles.exact_percentiles(delivered, F.col("delivery_days"), {"p50": 0.5, "p90": 0.9}, ["customer_id"])
+
+
 @query("scan_csv_infer")
 def _(spark, directory):
     path = staging.fresh_path(spark, "export-csv")
@@ -199,7 +215,7 @@ def _(spark, directory):
     path = staging.fresh_path(spark, "replay-states")
     replayed = replay.replay(mart.bi_export(staged_mart(spark, directory)), 3)
     sinks.write(replayed, path, "parquet", ["customer_state"])
-    return replay.replay_aggregate(readers.scan_parquet(spark, path))
+    return replay.replay_aggregate(readers.scan_parquet(spark, path, replayed.schema))
 
 
 @query("sink_json")
@@ -279,7 +295,7 @@ def _(spark, directory):
 # ---- mart --------------------------------------------------------------------------------------------------
 
 _on_sources(
-    "item_summary", lambda t: mart.item_summary(t["items"], t["products"], t["translation"], t["sellers"]).select(
+    "item_summary", lambda t: mart.item_summary(t["items"], t["products"], t["translation"], t["sellers"], t["orders"]).select(
         "order_id",
         "item_count",
         "seller_count",
@@ -294,7 +310,7 @@ _on_sources("first_review", lambda t: mart.first_review(t["reviews"]))
 
 
 def _context(t: dict[str, DataFrame]) -> DataFrame:
-    summary = mart.item_summary(t["items"], t["products"], t["translation"], t["sellers"])
+    summary = mart.item_summary(t["items"], t["products"], t["translation"], t["sellers"], t["orders"])
     return mart.join_order_context(t["orders"], t["customers"], summary, mart.first_review(t["reviews"]))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -28,13 +28,18 @@ def require_sources(spark: SparkSession, paths: Iterable[str]) -> None:
         raise FileNotFoundError(f"missing source tables: {', '.join(missing)}")
 
 
-def _by_header(spark: SparkSession, path: str, declared: StructType, multi_line: bool) -> StructType:
-    """Declared types in the order of the file's header; columns that were not declared pass through as text."""
-    header = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path).columns
-    missing = [name for name in declared.names if name not in header]
-    if missing:
-        raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
-    return StructType([declared[n] if n in declared.names else StructField(n, StringType()) for n in header])
+def _by_header(reader: DataFrameReader, path: str, declared: StructType) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header: one line of each is read. A path without rows has one header, its own."""
+    whole = reader.csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in whole.inputFiles():
+        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    groups = groups or {tuple(whole.columns): [path]}
+    for header in groups:
+        missing = [name for name in declared.names if name not in header]
+        if missing:
+            raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
+    return groups
 
 
 def scan_csv(
@@ -46,6 +51,7 @@ def scan_csv(
 ) -> DataFrame:
     """Headed CSV with declared types, matched by column name; unreadable values become NULL.
 
+    Files of one path may have their columns in different orders, or further columns, which pass through as text.
     Without a schema the types are inferred, which costs a second read of the data.
     """
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
@@ -53,11 +59,19 @@ def scan_csv(
         reader = reader.option("timestampNTZFormat", ts_format)
     if schema is None:
         return reader.option("inferSchema", True).option("prefersDate", True).csv(path)
-    return reader.schema(_by_header(spark, path, schema, multi_line)).csv(path)
+    parts = [
+        reader.schema(StructType([schema[n] if n in schema.names else StructField(n, StringType()) for n in header])).csv(files)
+        for header, files in _by_header(reader, path, schema).items()
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Parquet, with partition folders typed as ``schema`` says; without one Spark guesses their types from the names."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def scan_json(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -104,9 +104,16 @@ def test_review_ties(make_tables):
     assert got == {"o1": 4, "o2": 5, "o3": 2, "o4": 3}
 
 
-def test_vocabularies_of_any_size(five):
+def test_orphan_items_are_left_out(five):
     parts = [five[n] for n in ("items", "products", "translation", "sellers")]
-    assert sorted(M.item_summary(*parts, few_labels=False).collect()) == sorted(M.item_summary(*parts).collect())
+    some = five["orders"].filter("order_id <> 'a'")
+    assert "a" in {r.order_id for r in M.item_summary(*parts).collect()}
+    assert "a" not in {r.order_id for r in M.item_summary(*parts, some).collect()}
+
+
+def test_no_single_partition_in_the_mart(five):
+    plan = M.build_mart(five)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
 
 
 def test_hot_order_against_sql(spark):

@@ -97,3 +97,9 @@ def test_baseline_alerts_only_when_cheaper(spark, late_in_validation, alerts):
     row = V.constant_baseline(train, validation, test, "y").first()
     assert row.roc_auc == 0.5 and row.average_precision == pytest.approx(0.3) and row.alerts == alerts
     assert row.brier_score == pytest.approx(0.3 * 0.75**2 + 0.7 * 0.25**2)
+
+
+def test_null_scores_and_labels_are_refused(spark):
+    for rows in ([(1, 0.9), (0, None)], [(None, 0.4), (0, 0.1)]):
+        with pytest.raises(Exception, match="NULL score or label"):
+            V.roc_auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").collect()

@@ -133,3 +133,18 @@ def test_staging_uses_the_configured_folder(spark, five):
     assert staged.inputFiles()[0].startswith(f"file://{os.path.realpath(root)}")
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, five["orders"].collect()))
     assert at("2018-01-01") == staged.first().order_purchase_timestamp
+
+
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "one.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "two.csv").write_text("b,c,a\nz,extra,3\n")
+    got = readers.scan_csv(spark, str(tmp_path), StructType.fromDDL("a int, b string"))
+    assert sorted((r.a, r.b, r.c) for r in got.collect()) == [(1, "x", None), (2, "y", None), (3, "z", "extra")]
+
+
+def test_partition_names_keep_their_type(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1), ("02", 2)], "state string, n int")
+    sinks.write(df, str(tmp_path / "p"), "parquet", ["state"])
+    assert sorted(r.state for r in readers.scan_parquet(spark, str(tmp_path / "p"), df.schema).collect()) == ["01", "02"]
