@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import elapsed_hours
+from ..sources.staging import stage
 
 # Event name and the order column that dates it.
 ORDER_STAGES = {
@@ -68,71 +69,34 @@ def event_intervals(
     key: str = "order_id",
     time: str = "event_time",
     event_type: str = "event_type",
-    hot_rows: int = 5_000_000,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Previous event and hours since it, per key, for any long event table.
+    """All columns of a long event table, with the previous event of the key and the hours since it.
 
-    Keys with up to ``hot_rows`` events use one window per key. The few larger keys (at most total rows /
-    ``hot_rows`` of them, hence the broadcast) are collapsed to distinct (time, type) and ordered day by day; the
-    last event of the previous day then completes the first one of each day, so no task sorts a whole key.
+    Events of a key are ordered by time, then type, then ``ties``, NULL times and types last. The table is cut into
+    ranges of (key, that order), so a key, a day or a moment of any size is spread over as many ranges as it needs; rows
+    equal in all of these are dealt out at random. Each range is ordered on its own, and its first row looks back to
+    the last row of the range before. The ranges are written first, since two passes must see the same cut.
     """
-    events = df.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col(event_type).alias("_e"))
-    sizes = events.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(F.col("_k").alias("_hot")))
-    is_hot = F.col("_k").eqNullSafe(F.col("_hot"))
-
-    by_time = [F.col("_t").asc_nulls_last(), F.col("_e").asc_nulls_last()]
-    in_key = Window.partitionBy("_k").orderBy(*by_time)
-    cold = events.join(hot_keys, is_hot, "left_anti").withColumns(
-        {"_prev_e": F.lag("_e").over(in_key), "_prev_t": F.lag("_t").over(in_key)}
-    )
-
-    distinct = (
-        events.join(hot_keys, is_hot, "left_semi")
-        .groupBy("_k", "_t", "_e")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_day", F.to_date("_t"))
-    )
-    in_day = Window.partitionBy("_k", "_day").orderBy(*by_time)
-    day_last = distinct.groupBy("_k", "_day").agg(
-        F.max(F.struct(F.col("_t"), F.col("_e").isNull().alias("_untyped"), F.col("_e"))).alias("_last")
-    )
-    across_days = Window.partitionBy("_k").orderBy(F.col("_day").asc_nulls_last())
-    carried = day_last.select(
-        F.col("_k").alias("_ck"), F.col("_day").alias("_cday"), F.lag("_last").over(across_days).alias("_carry")
-    )
-    ordered = distinct.withColumns(
-        {
-            "_first": F.row_number().over(in_day) == 1,
-            "_prev_e": F.lag("_e").over(in_day),
-            "_prev_t": F.lag("_t").over(in_day),
-        }
-    ).join(
-        carried,
-        F.col("_first") & F.col("_k").eqNullSafe(F.col("_ck")) & F.col("_day").eqNullSafe(F.col("_cday")),
-        "left",
-    )
-    # Copies of one (time, type) follow each other: only the first copy looks back to another event.
-    hot = ordered.select(
-        "_k",
-        "_t",
-        "_e",
-        F.when(F.col("_first"), F.col("_carry._e")).otherwise(F.col("_prev_e")).alias("_prev_e"),
-        F.when(F.col("_first"), F.col("_carry._t")).otherwise(F.col("_prev_t")).alias("_prev_t"),
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"),
-    ).select(
-        "_k",
-        "_t",
-        "_e",
-        F.when(F.col("_copy") == 1, F.col("_prev_e")).otherwise(F.col("_e")).alias("_prev_e"),
-        F.when(F.col("_copy") == 1, F.col("_prev_t")).otherwise(F.col("_t")).alias("_prev_t"),
-    )
-
-    both = cold.unionByName(hot)
-    return both.select(
-        F.col("_k").alias(key),
-        F.col("_e").alias(event_type),
-        F.col("_t").alias(time),
-        F.col("_prev_e").alias("previous_event"),
-        elapsed_hours(F.col("_prev_t"), F.col("_t")).alias("hours_since_previous"),
+    new = ("previous_event", "hours_since_previous")
+    k, t, e = (F.col(f"row.`{c}`") for c in (key, time, event_type))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.rand(0).alias("salt"))
+    order = [k, t.isNull(), t, e.isNull(), e, *(F.col(f"row.`{c}`") for c in ties), F.col("salt")]
+    ranges = stage(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "event-ranges")
+
+    last = ranges.groupBy("range").agg(F.max(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("end"))
+    # One row per range, so as many as the shuffle has partitions.
+    before = Window.orderBy("range")
+    ends = last.select("range", F.lag("end").over(before).alias("end"))
+    carried = F.struct(F.col("end.o0").alias("k"), F.col("end.o2").alias("t"), F.col("end.o4").alias("e"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    looked = ranges.withColumns(
+        {"head": F.row_number().over(inside) == 1, "lagged": F.lag(F.struct(k.alias("k"), t.alias("t"), e.alias("e"))).over(inside)}
+    ).join(ends.select("range", carried.alias("carried"), F.col("end").isNotNull().alias("any")), "range")
+    previous = F.when(~F.col("head"), F.col("lagged")).when(F.col("any"), F.col("carried"))
+    same = previous["k"].eqNullSafe(k) & (~F.col("head") | F.col("any"))
+    return looked.select(
+        *(F.col(f"row.`{c}`") for c in df.columns if c not in new),
+        F.when(same, previous["e"]).alias(new[0]),
+        F.when(same, elapsed_hours(previous["t"], t)).alias(new[1]),
     )

@@ -507,10 +507,10 @@ ORACLE: dict[str, str] = {
     "event_intervals": _source(_INTERVAL_SPEC, _INTERVALS),
     "event_intervals_long": _source(_INTERVAL_SPEC, _INTERVALS),
     "event_intervals_users": _plain(
-        "user_id:i event_type:s ts:s previous_event:s hours_since_previous:d",
-        "SELECT user_id, event_type, ts, lag(event_type) OVER w AS previous_event,"
+        "event_id:i user_id:i event_type:s ts:s value:d props:s previous_event:s hours_since_previous:d",
+        "SELECT *, lag(event_type) OVER w AS previous_event,"
         " (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / 3600 AS hours_since_previous FROM events"
-        " WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS LAST, event_type NULLS LAST)",
+        " WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS LAST, event_type NULLS LAST, event_id)",
     ),
     # indicators
     "monthly_kpis": _mart(

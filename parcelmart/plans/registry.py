@@ -356,9 +356,8 @@ def _(spark, directory):
 
 @query("event_intervals_users")
 def _(spark, directory):
-    # Users with more than 70 events take the path for hot keys.
     stream = spark.read.parquet(f"{directory}/events.parquet")
-    return events.event_intervals(stream, "user_id", "ts", "event_type", hot_rows=70)
+    return events.event_intervals(stream, "user_id", "ts", "event_type", ties=["event_id"])
 
 
 # ---- indicators --------------------------------------------------------------------------------------------

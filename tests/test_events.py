@@ -55,17 +55,55 @@ def test_ties_sort_by_name_and_undated_events_come_last(make_tables):
         ],
         key=repr,
     )
-    assert _result(event_intervals(unpivot_events(tables["orders"]))) == _result(order_event_intervals(tables["orders"]))
+    long = event_intervals(unpivot_events(tables["orders"]))
+    assert _of(long, "order_id", "event_time", "event_type") == _result(order_event_intervals(tables["orders"]))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 40, 10**9])
-def test_any_key_size_gives_the_same_intervals(spark, hot_rows):
-    rng = random.Random(3)
+def _of(df, key, time, event_type):
+    return _result(df.select(key, event_type, time, "previous_event", "hours_since_previous"))
+
+
+def _random_events(rng, n, keys, hours):
     start = datetime(2024, 1, 1)
     rows = []
-    for _ in range(1500):
-        key = None if rng.random() < 0.1 else 7 if rng.random() < 0.34 else rng.randrange(60)
-        time = None if rng.random() < 0.05 else start + timedelta(hours=rng.choice([0, 1, 5, 30, 31, 200, 1000]))
+    for _ in range(n):
+        key = None if rng.random() < 0.1 else 7 if rng.random() < 0.34 else rng.randrange(keys)
+        time = None if rng.random() < 0.05 else start + timedelta(hours=rng.choice(hours))
         rows.append((key, time, None if rng.random() < 0.05 else rng.choice("abc")))
+    return rows
+
+
+@pytest.fixture
+def fine_ranges(spark):
+    """Small tables would otherwise end in one range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("keys, hours", [(60, [0, 1, 5, 30, 31, 200, 1000]), (8, [0, 1, 2]), (8, [0])])
+def test_keys_and_moments_of_any_size(spark, fine_ranges, keys, hours):
+    rows = _random_events(random.Random(3), 1500, keys, hours)
     df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e string")
-    assert _result(event_intervals(df, "k", "t", "e", hot_rows)) == _naive(rows)
+    assert _of(event_intervals(df, "k", "t", "e"), "k", "t", "e") == _naive(rows)
+
+
+def test_one_key_one_moment_is_spread_over_ranges(spark, fine_ranges):
+    """Copies of one event differ by no column and still land in several ranges."""
+    rows = [(1, datetime(2024, 1, 1), "a")] * 20_000
+    df = event_intervals(spark.createDataFrame(rows, "k int, t timestamp_ntz, e string").repartition(4), "k", "t", "e")
+    assert df.groupBy("previous_event", "hours_since_previous").count().orderBy("count").collect() == [(None, None, 1), ("a", 0.0, 19_999)]
+    files = {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+    assert len(files) > 1
+
+
+def test_other_columns_stay_and_ties_order_equal_events(spark, fine_ranges):
+    moment = datetime(2024, 1, 1)
+    rows = [(1, moment, "a", 30, {"x": "1"}), (1, moment, "a", 10, None), (1, moment, "a", 20, {"y": "2"}), (2, None, None, 5, None)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e string, id int, extra map<string,string>")
+    got = event_intervals(df, "k", "t", "e", ["id"])
+    assert got.columns == [*df.columns, "previous_event", "hours_since_previous"]
+    assert sorted((r.id, r.extra, r.previous_event, r.hours_since_previous) for r in got.collect()) == [
+        (5, None, None, None), (10, None, None, None), (20, {"y": "2"}, "a", 0.0), (30, {"x": "1"}, "a", 0.0),
+    ]
+    assert event_intervals(df.limit(0), "k", "t", "e").collect() == []
