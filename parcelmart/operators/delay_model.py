@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .features import CATEGORICAL, NUMERIC, fill_missing, medians, scaling, vocabulary
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
@@ -24,6 +24,8 @@ class DelayModel:
     categories: DataFrame
     labels: dict[str, list[str]]
     encoder: OneHotEncoderModel
+    weights: list[float] = field(default_factory=list)
+    intercept: float = 0.0
     classifier: LogisticRegressionModel | None = None
 
     def feature_names(self) -> list[str]:
@@ -31,6 +33,11 @@ class DelayModel:
             f"category__{c}_{label}" for c in CATEGORICAL for label in self.labels[c]
         ]
 
+    def place_weights(self, column: str) -> list[float]:
+        """Weights of one category column by position."""
+        before = len(NUMERIC) + sum(len(self.labels[c]) for c in CATEGORICAL[: CATEGORICAL.index(column)])
+        return self.weights[before : before + len(self.labels[column])]
+
 
 def _with_positions(df: DataFrame, model: DelayModel) -> DataFrame:
     """Category positions by join, as Spark's size check decides. Unseen values get the position
@@ -44,15 +51,22 @@ def _with_positions(df: DataFrame, model: DelayModel) -> DataFrame:
     return df
 
 
-def encode(df: DataFrame, model: DelayModel) -> DataFrame:
-    """Add the column ``features``: scaled numbers, then one-hot categories."""
+def _inputs(df: DataFrame, model: DelayModel) -> DataFrame:
+    """Add ``<number>_z`` and ``<category>_place``."""
     scaled = {
         f"{c}_z": (F.col(c).cast("double") - F.lit(model.means[c])) / F.lit(model.deviations[c]) for c in NUMERIC
     }
-    ready = _with_positions(fill_missing(df, model.fills), model).withColumns(scaled)
+    return _with_positions(fill_missing(df, model.fills), model).withColumns(scaled)
+
+
+_ADDED = [f"{c}_z" for c in NUMERIC] + [f"{c}_place" for c in CATEGORICAL]
+
+
+def encode(df: DataFrame, model: DelayModel) -> DataFrame:
+    """Add the column ``features``: scaled numbers, then one-hot categories."""
     inputs = [f"{c}_z" for c in NUMERIC] + [f"{c}_vector" for c in CATEGORICAL]
-    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(model.encoder.transform(ready))
-    return assembled.drop(*inputs, *(f"{c}_place" for c in CATEGORICAL))
+    encoded = model.encoder.transform(_inputs(df, model))
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(encoded).drop(*inputs, *_ADDED)
 
 
 def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
@@ -60,7 +74,9 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
     fills = {row["feature"]: row["median"] for row in medians(train).collect()}
     filled = fill_missing(train, fills)
     stats = scaling(filled).first()
-    categories = vocabulary(filled, min_frequency).select("feature", "value", "label", "place").persist()
+    categories = stage(
+        vocabulary(filled, min_frequency).select("feature", "value", "label", "place"), "model-categories"
+    )
     labels: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
     # One row per output column of the model, whose coefficients the driver holds anyway.
     outputs = categories.groupBy("feature", "label", "place").agg(F.count(F.lit(1)).alias("n"))
@@ -102,27 +118,53 @@ def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: i
         tol=tol,
     )
     model.classifier = estimator.fit(rows)
+    model.weights = [float(w) for w in model.classifier.coefficients.toArray()]
+    model.intercept = model.classifier.intercept
     rows.unpersist()
     return model
 
 
+def _probability(model: DelayModel) -> Column:
+    """The logistic function of the weighted inputs; a category value unseen in training weighs nothing."""
+    margin = F.lit(model.intercept)
+    for c, weight in zip(NUMERIC, model.weights):
+        margin = margin + F.lit(weight) * F.col(f"{c}_z")
+    for c in CATEGORICAL:
+        weights = F.lit(model.place_weights(c)).cast("array<double>")
+        margin = margin + F.coalesce(F.get(weights, F.col(f"{c}_place").cast("int")), F.lit(0.0))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+
 def score(model: DelayModel, df: DataFrame) -> DataFrame:
     """Add ``probability`` of a late delivery."""
-    scored = model.classifier.transform(encode(df, model))
-    return scored.withColumn("probability", vector_to_array("probability").getItem(1)).drop(
-        "features", "rawPrediction", "prediction"
-    )
+    return _inputs(df, model).withColumn("probability", _probability(model)).drop(*_ADDED)
 
 
 def coefficients(model: DelayModel, df: DataFrame) -> DataFrame:
     """Feature names with weights, ascending; one row per coefficient."""
-    weights = [float(w) for w in model.classifier.coefficients.toArray()]
-    rows = list(zip(model.feature_names(), weights))
+    rows = list(zip(model.feature_names(), model.weights))
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double").orderBy(
         "coefficient", "feature"
     )
 
 
+def penalised_gradients(model: DelayModel, train: DataFrame, c: float = 0.3) -> DataFrame:
+    """Derivative of the penalised mean loss by each weight and the intercept; about zero where the fit has converged."""
+    residual = F.col("_residual")
+    rows = _inputs(train, model).withColumn("_residual", _probability(model) - F.col("target"))
+    n = F.count(F.lit(1)).cast("double")
+    sums = rows.agg(n.alias("n"), F.sum(residual).alias("all"), *(F.sum(residual * F.col(f"{x}_z")).alias(x) for x in NUMERIC))
+    pairs = [F.struct(F.lit("intercept").alias("feature"), F.col("all").alias("total"))]
+    pairs += [F.struct(F.lit(f"numeric__{x}").alias("feature"), F.col(x).alias("total")) for x in NUMERIC]
+    totals = sums.select(F.inline(F.array(*pairs)))
+    for x in CATEGORICAL:
+        named = F.get(F.lit([f"category__{x}_{label}" for label in model.labels[x]]), F.col(f"{x}_place").cast("int"))
+        totals = totals.unionByName(rows.groupBy(named.alias("feature")).agg(F.sum(residual).alias("total")))
+    weights = coefficients(model, train).select("feature", "coefficient")
+    gradient = (F.col("total") + F.coalesce("coefficient", F.lit(0.0)) / F.lit(c)) / sums.select("n").scalar()
+    return totals.join(weights, "feature", "left").select("feature", gradient.alias("gradient"))
+
+
 def predictions(scored: DataFrame, threshold: Column) -> DataFrame:
     return scored.select(
         "order_id",

@@ -161,6 +161,41 @@ FILLED = (
     " FROM matured, medians)"
 )
 
+VOCABULARY = """
+vocabulary AS (
+  SELECT feature, value, n, if(n < 300, 'infrequent', value) AS label,
+         if(n < 300, sum((n >= 300)::INT) OVER (PARTITION BY feature),
+            row_number() OVER (PARTITION BY feature ORDER BY n < 300, value) - 1) AS place
+  FROM (SELECT 'customer_state' AS feature, customer_state AS value, count(*) AS n FROM filled WHERE split = 'train' GROUP BY 2
+        UNION ALL SELECT 'category', category, count(*) FROM filled WHERE split = 'train' GROUP BY 2)
+)"""
+
+# Weights of the registered fixed model, in the order of NUMERIC and by position.
+_WEIGHTS = dict(zip(NUMERIC, ["-1.1", "0.7", "0.2", "-0.3", "0.15", "-0.25", "0.1", "0.4"]))
+FIXED_SCORES = (
+    "spread AS (SELECT "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC)
+    + " FROM filled WHERE split = 'train'), margins AS (SELECT filled.order_id, filled.split, target, -2.0::DOUBLE + "
+    + " + ".join(f"{w}::DOUBLE * (filled.{c} - m_{c}) / if(s_{c} = 0, 1, s_{c})" for c, w in _WEIGHTS.items())
+    + """ + coalesce(0.03::DOUBLE * (s.place + 1), 0) + coalesce(-0.05::DOUBLE * (g.place + 1), 0) AS margin
+  FROM filled CROSS JOIN spread
+  LEFT JOIN vocabulary s ON s.feature = 'customer_state' AND s.value = filled.customer_state
+  LEFT JOIN vocabulary g ON g.feature = 'category' AND g.value = filled.category
+), fixed AS (
+  SELECT order_id, split, target AS label, 1 / (1 + exp(-margin)) AS score FROM margins
+)"""
+)
+# The threshold of least cost on the validation split.
+CHOSEN = """
+chosen AS (
+  SELECT 0.01::DOUBLE + i * 0.01::DOUBLE AS threshold
+  FROM range(99) AS steps(i), (SELECT score, label FROM fixed WHERE split = 'validation')
+  GROUP BY i
+  ORDER BY sum(CASE WHEN score >= 0.01::DOUBLE + i * 0.01::DOUBLE AND label = 0 THEN 3
+                    WHEN score < 0.01::DOUBLE + i * 0.01::DOUBLE AND label = 1 THEN 25 ELSE 0 END), i
+  LIMIT 1
+)"""
+
 
 def _wilson(k: str, n: str) -> str:
     z = "1.959963984540054"
@@ -304,6 +339,12 @@ sweep AS (
 _MODEL_SPEC = (
     "model:s roc_auc:d average_precision:d brier_score:d assumed_error_cost_brl:d alerts:i precision:d recall:d"
 )
+CONSTANT = """
+constant AS (
+  SELECT label, (SELECT avg(label) FROM scored WHERE split = 'train') AS score,
+         (SELECT 3 * sum(1 - label) < 25 * sum(label) FROM scored WHERE split = 'validation') AS alert_all
+  FROM scored WHERE split = 'test'
+)"""
 
 
 def _metrics(model: str, rows: str, alert: str) -> str:
@@ -661,13 +702,59 @@ ORACLE: dict[str, str] = {
     ),
     "onehot_min_frequency": _model(
         "feature:s value:s n:i label:s place:i",
-        """SELECT feature, value, n, if(n < 300, 'infrequent', value) AS label,
-                  if(n < 300, sum((n >= 300)::INT) OVER (PARTITION BY feature),
-                     row_number() OVER (PARTITION BY feature ORDER BY n < 300, value) - 1) AS place
-           FROM (SELECT 'customer_state' AS feature, customer_state AS value, count(*) AS n FROM filled
-                 WHERE split = 'train' GROUP BY 2
-                 UNION ALL SELECT 'category', category, count(*) FROM filled WHERE split = 'train' GROUP BY 2)""",
+        "SELECT * FROM vocabulary",
+        FILLED,
+        VOCABULARY,
+    ),
+    "fit_logistic": _model(
+        "feature:s within_tolerance:i",
+        " UNION ALL ".join(f"SELECT '{name}' AS feature, 1 AS within_tolerance" for name in ["intercept", *(f"numeric__{c}" for c in NUMERIC)])
+        + " UNION ALL SELECT DISTINCT 'category__' || feature || '_' || label, 1 FROM vocabulary",
+        FILLED,
+        VOCABULARY,
+    ),
+    "score_fixed_weights": _model(
+        "order_id:i target:i probability:d",
+        "SELECT order_id, label AS target, score AS probability FROM fixed WHERE split = 'validation'",
+        FILLED,
+        VOCABULARY,
+        FIXED_SCORES,
+    ),
+    "coefficients_fixed_weights": _model(
+        "feature:s coefficient:d",
+        " UNION ALL ".join(f"SELECT 'numeric__{c}' AS feature, {w}::DOUBLE AS coefficient" for c, w in _WEIGHTS.items())
+        + " UNION ALL SELECT DISTINCT 'category__' || feature || '_' || label,"
+        " if(feature = 'category', -0.05::DOUBLE, 0.03::DOUBLE) * (place + 1) FROM vocabulary",
         FILLED,
+        VOCABULARY,
+    ),
+    "predictions_fixed_weights": _model(
+        "order_id:i order_delivered_carrier_date:s target:i probability:d alert:i",
+        """SELECT order_id, order_delivered_carrier_date, label AS target, score AS probability, score >= threshold AS alert
+           FROM fixed JOIN matured USING (order_id, split), chosen WHERE split = 'test'""",
+        FILLED,
+        VOCABULARY,
+        FIXED_SCORES,
+        CHOSEN,
+    ),
+    "model_report_fixed_weights": _model(
+        _MODEL_SPEC + " train_n:i validation_n:i test_n:i threshold:d test_prevalence:d",
+        "SELECT both_models.*, (SELECT count(*) FROM matured WHERE split = 'train') AS train_n,"
+        " (SELECT count(*) FROM matured WHERE split = 'validation') AS validation_n,"
+        " (SELECT count(*) FROM tested) AS test_n, (SELECT threshold FROM chosen) AS threshold,"
+        " (SELECT avg(label) FROM tested) AS test_prevalence FROM ("
+        + _metrics("logistic", "tested", "score >= (SELECT threshold FROM chosen)")
+        + " UNION ALL "
+        + _metrics("training_prevalence", "constant", "alert_all").replace("FROM curve,", "FROM constant_curve,")
+        + ") AS both_models",
+        FILLED,
+        VOCABULARY,
+        FIXED_SCORES,
+        CHOSEN,
+        "tested AS (SELECT * FROM fixed WHERE split = 'test')",
+        CONSTANT,
+        _CURVE.format(rows="tested"),
+        _CURVE.format(rows="constant").replace("score_counts", "constant_counts").replace("curve AS", "constant_curve AS"),
     ),
     # score evaluation
     "error_cost": _model(
@@ -687,11 +774,7 @@ ORACLE: dict[str, str] = {
     "constant_baseline": _model(
         _MODEL_SPEC,
         _metrics("training_prevalence", "constant", "alert_all"),
-        """constant AS (
-             SELECT label, (SELECT avg(label) FROM scored WHERE split = 'train') AS score,
-                    (SELECT 3 * sum(1 - label) < 25 * sum(label) FROM scored WHERE split = 'validation') AS alert_all
-             FROM scored WHERE split = 'test')""",
-        _CURVE.format(rows="constant"),
+        CONSTANT,        _CURVE.format(rows="constant"),
     ),
     "roc_auc": _model("roc_auc:d", f"SELECT {_AUC} AS roc_auc FROM curve", _CURVE.format(rows="scored")),
     "roc_auc_small_cells": _model("roc_auc:d", f"SELECT {_AUC} AS roc_auc FROM curve", _CURVE.format(rows="scored")),

@@ -121,6 +121,19 @@ def test_fit_matches_a_newton_solve(split):
     assert table.coefficient.is_monotonic_increasing and "category__customer_state_infrequent" in set(table.feature)
 
 
+def test_scores_are_those_of_the_classifier_and_gradients_vanish(split):
+    model = D.fit(split["train"], min_frequency=50)
+    strange = split["test"].unionByName(split["test"].limit(1).withColumns({"order_id": F.lit("odd"), "category": F.lit("never seen")}))
+    ours = {r.order_id: r.probability for r in D.score(model, strange).collect()}
+    theirs = {r.order_id: r.probability[1] for r in model.classifier.transform(D.encode(strange, model)).collect()}
+    assert ours == pytest.approx(theirs, abs=1e-12)
+    gradients = {r.feature: r.gradient for r in D.penalised_gradients(model, split["train"]).collect()}
+    assert set(gradients) == {"intercept", *model.feature_names()}
+    assert max(map(abs, gradients.values())) < 1e-4
+    model.weights = [w + 0.1 for w in model.weights]
+    assert max(abs(r.gradient) for r in D.penalised_gradients(model, split["train"]).collect()) > 1e-3
+
+
 def test_unseen_category_becomes_a_zero_vector(split):
     model = D.fit_preprocessing(split["train"], 50)
     strange = split["test"].limit(1).withColumns({"customer_state": F.lit("Z"), "category": F.lit("never seen")})
