@@ -66,17 +66,25 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterat
     size = 0
 
     def flush() -> Iterator[tuple]:
-        columns = [np.concatenate([h[k] for h in held]) for k in range(order)]
-        key = gram_hash(columns)
-        key, at, count = sorted_counts(key, np.ones(len(key), np.uint64))
-        yield from send(order, key, [*(c[at] for c in columns), count], _gram_widths(order, 1), shards)
+        # Blocks give up their arrays one by one, so that a task holds few copies of them at a time.
+        key = np.concatenate([block.pop() for block in held])
+        by_key = np.argsort(key)
+        key = key[by_key]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at, count = by_key[head], np.diff(head, append=len(key))
+        del by_key
+        key = key[head]
+        del head
+        columns = [np.concatenate([block.pop() for block in held])[at] for _ in range(order)][::-1]
+        yield from send(order, key, [*columns, count], _gram_widths(order, 1), shards)
 
     for batch in batches:
         data, offsets = flat_utf8(batch.column(0))
         for start, stop in blocks(offsets):
             cut = offsets[start : stop + 1]
             token, text = token_stream(data[cut[0] : cut[-1]], cut - cut[0], hasher)
-            held.append(context_columns(token, text, order))
+            columns = context_columns(token, text, order)
+            held.append([*columns, gram_hash(columns)])
             size += len(token)
             if size > COUNT_WORDS:
                 yield from flush()
