@@ -18,7 +18,7 @@ _WORD_SHIFT = np.uint64(16)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Text bytes scored together.
-SCORE_BYTES = 4_000_000
+SCORE_BYTES = 2_000_000
 #: Words gathered before a counting task sends them on.
 COUNT_WORDS = 4_000_000
 
