@@ -141,14 +141,15 @@ def vocabulary(
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("rare", F.col("n") < min_frequency)
     )
-    # Ranks come from the category table, one row per value.
-    order = Window.partitionBy("feature").orderBy("rare", "value")
-    frequent = F.count_if(~F.col("rare")).over(Window.partitionBy("feature"))
-    place = F.when(F.col("rare"), frequent).otherwise(F.row_number().over(order) - 1)
-    return counts.select(
+    # Only frequent values are ranked, at most rows / min_frequency of them.
+    order = Window.partitionBy("feature").orderBy("value")
+    frequent = counts.filter(~F.col("rare")).withColumn("place", F.row_number().over(order) - 1)
+    sizes = counts.groupBy("feature").agg(F.count_if(~F.col("rare")).alias("place"))
+    placed = frequent.unionByName(counts.filter("rare").join(sizes, "feature"))
+    return placed.select(
         "feature",
         "value",
         "n",
         F.when(F.col("rare"), INFREQUENT).otherwise(F.col("value")).alias("label"),
-        place.cast("bigint").alias("place"),
+        F.col("place").cast("bigint").alias("place"),
     )
