@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z_95 = 1.959963984540054
+FALSE_POSITIVE_COST = 3.0
+FALSE_NEGATIVE_COST = 25.0
 
 
 def rate(k: Column, n: Column) -> Column:
@@ -46,7 +48,12 @@ def sample_size(p1: Column, p2: Column, alpha: float = 0.05, power: float = 0.8)
     return F.ceil(ratio * ratio).cast("bigint")
 
 
-def error_cost(label: Column, predicted: Column, false_positive: float = 3.0, false_negative: float = 25.0) -> Column:
+def error_cost(
+    label: Column,
+    predicted: Column,
+    false_positive: float = FALSE_POSITIVE_COST,
+    false_negative: float = FALSE_NEGATIVE_COST,
+) -> Column:
     """Assumed cost of one decision; sum it for the cost of a decision rule."""
     positive = label.cast("int") == 1
     alerted = predicted.cast("int") == 1

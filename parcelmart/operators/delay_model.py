@@ -9,8 +9,9 @@ from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssemble
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.inference import FALSE_NEGATIVE_COST, FALSE_POSITIVE_COST
 from ..sources.staging import stage
-from .features import CATEGORICAL, NUMERIC, fill_missing, medians, scaling, vocabulary
+from .features import CATEGORICAL, NUMERIC, SPLITS, fill_missing, medians, scaling, vocabulary
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
 
@@ -194,3 +195,17 @@ def model_report(train: DataFrame, validation: DataFrame, test: DataFrame) -> Da
             "test_prevalence": test.agg(F.avg("target")).scalar(),
         }
     )
+
+
+def model_block(report: DataFrame) -> DataFrame:
+    """``model_report`` as one nested row, with the assumed error costs and the model's inputs."""
+    shared = {*(f"{s}_n" for s in SPLITS), "threshold", "test_prevalence"}
+    return report.agg(
+        F.struct(*(F.first(f"{s}_n").alias(s) for s in SPLITS)).alias("splits"),
+        F.first("threshold").alias("threshold"),
+        F.lit(FALSE_POSITIVE_COST).alias("false_positive_cost_assumed"),
+        F.lit(FALSE_NEGATIVE_COST).alias("false_negative_cost_assumed"),
+        F.first("test_prevalence").alias("test_prevalence"),
+        F.sort_array(F.collect_list(F.struct("model", *(c for c in report.columns if c not in {*shared, "model"})))).alias("metrics"),
+        F.array(*(F.lit(c) for c in [*NUMERIC, *CATEGORICAL])).alias("features"),
+    )

@@ -38,11 +38,17 @@ CUTOFFS = features.SplitCutoffs(
 MIN_FREQUENCY = 300
 MIN_STRATUM = 10
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple, DataFrame] = {}
+
+
+def _content(spark: SparkSession, directory: str) -> tuple:
+    """Number, bytes and last change of the input files, so that changed input is staged anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    return tuple(files.load(directory).agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
 
 
 def _once(spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, directory, name)
+    key = (spark.sparkContext.applicationId, directory, name, _content(spark, directory))
     if key not in _staged:
         _staged[key] = staging.stage(build(), name)
     return _staged[key]

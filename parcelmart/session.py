@@ -11,6 +11,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    # Otherwise the target size below gives way to as many partitions as there are cores.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
@@ -33,6 +35,14 @@ LOCAL_CONF = {
 }
 
 
+def cluster_session(app: str = "parcelmart", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session of the cluster that spark-submit names, with the settings above."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in {**CLUSTER_CONF, **(conf or {})}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def local_session(app: str = "parcelmart", cores: str | int = "*", conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in {**LOCAL_CONF, **(conf or {})}.items():
