@@ -120,15 +120,14 @@ def scan(
     docs: DataFrame,
     templates: tuple[Template, ...] = TEMPLATES,
     phrases: dict[str, str] | None = None,
-    top: int = 8,
     text: str = "text",
 ) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, matches, score.
 
-    The licence words of a file are those of the templates' index; its ``top`` distinct ones of highest IDF are looked up.
+    The licence words of a file are those of the templates' index; every place of every one is looked up.
     Each posting of such a word says where the template would begin in the file; postings that agree on the
-    beginning add up their IDF. A template matches if what agrees is its ``least`` share of the template's rare weight (of the
-    looked-up words at most) and all its mandatory phrases stand in the file. ``score`` is the best share of a matching
+    beginning add up their IDF. A template matches if what agrees is its ``least`` share of the template's rare weight and
+    all its mandatory phrases stand in the file (so postings of other templates are passed over). ``score`` is the best share of a matching
     template, 1 for a file with a base phrase, else 0. All of it is done inside the row: no shuffle, and the index has a fixed
     size. A NULL or empty text has no words and no labels; labels are distinct, sorted and joined by commas.
     """
@@ -153,19 +152,14 @@ def scan(
         }
     )
 
-    def lookup(word: Column, values: dict, otherwise: Column) -> Column:
-        groups: dict = {}
-        for w, v in values.items():
-            groups.setdefault(v, []).append(w)
-        out = None
-        for v, ws in groups.items():
-            out = F.when(word.isin(ws), v) if out is None else out.when(word.isin(ws), v)
-        return out.otherwise(otherwise)
-
-    # The file's rare words: (idf, word), highest first; only the first places of the ranking are looked up.
-    in_file = F.array_distinct(F.filter(F.transform("_hits", lambda i: F.get("_words", i)), lambda w: w.isin(sorted(index.postings))))
-    ranked = F.sort_array(F.transform(in_file, lambda w: F.struct(lookup(w, index.idf, F.lit(0.0)).alias("idf"), w.alias("w"))), False)
-    rows = rows.withColumn("_rare", held(F.transform(F.slice(ranked, 1, top), lambda x: x["w"])))
+    # Only templates whose mandatory phrases all stand in the file can match; other files need no lookup.
+    able = []
+    for k, t in enumerate(templates):
+        stand = F.lit(True)
+        for m in t.mandatory:
+            stand = stand & (F.size(place[m]) > 0)
+        able.append(F.when(stand, F.lit(k)))
+    rows = rows.withColumn("_able", held(F.array_compact(F.array(*able))))
 
     def posting_array(word: Column) -> Column:
         out = None
@@ -176,17 +170,17 @@ def scan(
             out = F.when(word == w, value) if out is None else out.when(word == w, value)
         return out
 
-    # Votes (template, begin, idf), one for each looked-up hit and posting; only files with enough rare words get here.
+    # Votes (template, begin, idf), one for each hit of a licence word and posting of a template that can match.
     votes = F.flatten(
         F.transform(
-            F.filter("_hits", lambda i: F.array_contains("_rare", F.get("_words", i))),
+            F.filter("_hits", lambda i: F.get("_words", i).isin(sorted(index.postings))),
             lambda i: F.transform(
-                posting_array(F.get("_words", i)),
+                F.filter(posting_array(F.get("_words", i)), lambda x: F.array_contains("_able", x["t"])),
                 lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("b"), x["idf"].alias("idf")),
             ),
         )
     )
-    rows = rows.withColumn("_votes", held(F.when(F.size("_rare") >= 2, F.sort_array(votes))))
+    rows = rows.withColumn("_votes", held(F.when(F.size("_able") > 0, F.sort_array(votes))))
     # One pass over the ordered votes: running sum of votes for the same beginning, and per template the best sum.
     zero = F.struct(
         F.lit(-1).alias("t"),
@@ -204,12 +198,8 @@ def scan(
     rows = rows.withColumn("_best", held(F.when(F.col("_votes").isNotNull(), F.aggregate("_votes", zero, add)["best"])))
     shares, labels = [], []
     for k, t in enumerate(templates):
-        # A file's looked-up words can add up to this much of the template at most.
-        most = sum(sorted((index.idf[w] for w in index.idf for kk, _ in index.postings[w] if kk == k), reverse=True)[:top])
-        share = F.least(F.coalesce(F.get("_best", F.lit(k)) / F.lit(most), F.lit(0.0)), F.lit(1.0))
-        verified = share >= F.lit(t.least)
-        for m in t.mandatory:
-            verified = verified & (F.size(place[m]) > 0)
+        share = F.least(F.coalesce(F.get("_best", F.lit(k)) / F.lit(index.weight[k]), F.lit(0.0)), F.lit(1.0))
+        verified = F.array_contains("_able", k) & (share >= F.lit(t.least))
         shares.append(F.when(verified, share).otherwise(F.lit(0.0)))
         labels.append(F.when(verified, F.lit(t.label)))
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.size(place[p]) > 0, F.lit(l)) for p, l in phrases.items())))))
@@ -219,5 +209,5 @@ def scan(
         rows.withColumn("score", score)
         .withColumn("base_labels", F.array_join("_base", ","))
         .withColumn("labels", F.array_join(F.array_sort(F.array_union("_base", "matches")), ","))
-        .drop("_words", "_hits", "_rare", "_votes", "_best", "_base", *place.values())
+        .drop("_words", "_hits", "_able", "_votes", "_best", "_base", *place.values())
     )

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from parcelmart.llm import probminhash
+from parcelmart.llm import licenses, probminhash
 
 
 def prose(rnd: random.Random, n: int) -> str:
@@ -34,3 +34,24 @@ def test_near_duplicates_of_a_text_written_several_times(spark):
     assert (group[2], group[3], group[7]) == (1, 1, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()} == group
+
+
+def test_licence_notices_among_words_of_other_notices(spark):
+    rnd = random.Random(5)
+    common = sorted({w for t in licenses.TEMPLATES for w in licenses.template_words(t.text)})
+    salad = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    story = "Your work was published as a program. It is provided with an option to look at source code, either whole or by version. "
+    rows, expected = [], {}
+    for k, t in enumerate(licenses.TEMPLATES):
+        # Each notice alone, amid ordinary prose, after words of all notices, and with the notice after it.
+        after = licenses.TEMPLATES[(k + 1) % len(licenses.TEMPLATES)]
+        for j, text in enumerate((t.text, story * 3 + t.text + " " + story, salad(400) + "\n" + t.text + "\n" + salad(400), t.text + "\n" + after.text)):
+            rows.append((10 * k + j, text))
+            expected[10 * k + j] = {t.label, after.label} if j == 3 else {t.label}
+    rows.append((1000, "\n\n".join(t.text for t in licenses.TEMPLATES)))
+    expected[1000] = {t.label for t in licenses.TEMPLATES}
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, labels in expected.items():
+        assert labels <= set(got[i].labels.split(",")), (i, got[i].labels)
+        assert got[i].score == 1.0 or abs(got[i].score - 1) < 1e-9
+    assert licenses.scan(spark.createDataFrame([(1, story * 9 + salad(900))], "doc_id long, text string")).first().labels == ""
