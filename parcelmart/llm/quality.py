@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_percentiles
 from ..sources.staging import stage
 from .columns import held
 
 #: Buckets of the hashed n-gram multinomials.
 BUCKETS = 10_000
-#: A document is kept if its mean log-likelihood ratio per n-gram reaches this.
-LEAST_SCORE = -0.7
+#: The threshold of the scores leaves at most this share of the trusted documents that pass the base rules below it.
+LOST_TRUSTED = 0.001
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -98,22 +99,25 @@ def buckets(hashes: Column, n: int = BUCKETS) -> Column:
     return F.concat(single, pair)
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def trusted_texts(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The texts of the documents whose key ``trusted`` lists."""
+    return docs.select(key, text).join(trusted.select(F.col(key)).distinct(), key, "left_semi").select(text)
+
+
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, text: str = "text") -> DataFrame:
     """One row (ratios array<double>): per bucket the log of its share in trusted texts over its share in all texts.
 
-    Counts have half an n-gram added per bucket. ``trusted`` lists the keys of trusted documents. Counting is one
+    Counts have half an n-gram added per bucket. ``trusted`` holds the trusted texts. Counting is one
     aggregation over all n-grams of all documents with at most ``n`` groups per task. Without trusted documents
     all ratios are 0.
     """
-    marks = trusted.select(F.col(key).alias("_key")).distinct().withColumn("_trusted", F.lit(1))
     def grams(rows: DataFrame) -> DataFrame:
         # The hashes are a column of their own: inside the lambdas of buckets() they would be made anew for each word.
         hashed = rows.select(held(word_hashes(_text(text))).alias("_hashes"))
         return hashed.select(F.explode(buckets(F.col("_hashes"), n)).alias("bucket")).groupBy("bucket")
 
-    listed = trusted.select(F.col(key)).distinct()
     per_bucket = grams(docs.select(text)).agg(F.count(F.lit(1)).alias("n_raw"))
-    target = grams(docs.select(key, text).join(listed, key, "left_semi")).agg(F.count(F.lit(1)).alias("n_target"))
+    target = grams(trusted.select(text)).agg(F.count(F.lit(1)).alias("n_target"))
     spark = docs.sparkSession
     every = spark.range(n).select(F.col("id").alias("bucket")).join(per_bucket, "bucket", "left").join(target, "bucket", "left")
     counted = every.select("bucket", F.coalesce("n_raw", F.lit(0)).alias("r"), F.coalesce("n_target", F.lit(0)).alias("t"))
@@ -129,10 +133,26 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, text: s
     return packed.select(ratio.alias("ratios"))
 
 
+def _scored(docs: DataFrame, ratios: DataFrame, n: int, least_words: int, most_repeated: float, text: str) -> DataFrame:
+    """``docs`` with the repetition counts, score and base_failed."""
+    rows = repetition(docs.drop("_hashes"), text).withColumn("_ratios", ratios.select("ratios").scalar())
+    grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
+    total = F.aggregate(buckets(F.col("_hashes"), n), F.lit(0.0), lambda s, b: s + F.get("_ratios", b.cast("int")))
+    score = F.when(grams > 0, total / grams).otherwise(F.lit(0.0))
+    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * F.lit(most_repeated))
+    return rows.withColumn("score", score).withColumn("base_failed", failed).drop("_hashes", "_ratios")
+
+
+def threshold(scores: DataFrame, lost: float = LOST_TRUSTED) -> DataFrame:
+    """One row (least): the largest of the scores that has at most ``lost`` of them below it; NULL without scores."""
+    cut = exact_percentiles(scores, F.col("score"), {"cut": lost}).select("cut").scalar()
+    return scores.filter(F.col("score") <= cut).agg(F.max("score").alias("least"))
+
+
 def judge(
     docs: DataFrame,
     trusted: DataFrame,
-    least_score: float = LEAST_SCORE,
+    least_score: float | None = None,
     n: int = BUCKETS,
     least_words: int = 50,
     most_repeated: float = 50.0,
@@ -142,20 +162,20 @@ def judge(
     """``docs`` with the repetition counts, base_failed, score and kept.
 
     ``score`` is the sum of bucket ratios over a text's words and word pairs, divided by their number (0 without any);
-    every document is kept or not by the same threshold, without a draw. base_failed: fewer than ``least_words`` words,
+    every document is kept or not by the same threshold, without a draw. The threshold is ``least_score`` or, if none is
+    given, that of the scores of all trusted documents that pass the base rules: ``LOST_TRUSTED`` of them at most lie
+    below. Without such documents the score rejects nothing. base_failed: fewer than ``least_words`` words,
     or more than ``most_repeated`` percent of them in repeated 3-word windows. A NULL text is empty. Repeated rows
     are judged alike; NULL keys are never trusted; an empty table gives no rows. The ratios are one row of ``n`` numbers,
     whatever the input's size.
     """
-    ratios = stage(bucket_ratios(docs, trusted, n, text, key), "quality-ratios")
-    rows = repetition(docs.drop("_hashes"), text).withColumn("_ratios", ratios.select("ratios").scalar())
-    grams = F.col("n_words") + F.greatest(F.col("n_words") - 1, F.lit(0))
-    total = F.aggregate(buckets(F.col("_hashes"), n), F.lit(0.0), lambda s, b: s + F.get("_ratios", b.cast("int")))
-    score = F.when(grams > 0, total / grams).otherwise(F.lit(0.0))
-    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * F.lit(most_repeated))
-    return (
-        rows.withColumn("score", score)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least_score)))
-        .drop("_hashes", "_ratios")
-    )
+    good = stage(trusted_texts(docs, trusted, text, key), "quality-trusted")
+    ratios = stage(bucket_ratios(docs, good, n, text), "quality-ratios")
+    rules = (n, least_words, most_repeated, text)
+    if least_score is None:
+        scores = stage(_scored(good, ratios, *rules).filter("not base_failed").select("score"), "quality-trusted-scores")
+        least = F.coalesce(stage(threshold(scores), "quality-threshold").scalar(), F.lit(float("-inf")))
+    else:
+        least = F.lit(least_score)
+    rows = _scored(docs, ratios, *rules)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from parcelmart.llm import licenses, probminhash
+from parcelmart.llm import licenses, probminhash, quality
 
 
 def prose(rnd: random.Random, n: int) -> str:
@@ -55,3 +55,20 @@ def test_licence_notices_among_words_of_other_notices(spark):
         assert labels <= set(got[i].labels.split(",")), (i, got[i].labels)
         assert got[i].score == 1.0 or abs(got[i].score - 1) < 1e-9
     assert licenses.scan(spark.createDataFrame([(1, story * 9 + salad(900))], "doc_id long, text string")).first().labels == ""
+
+
+def test_quality_threshold_comes_from_the_trusted_documents(spark):
+    rnd = random.Random(4)
+    words = [prose(rnd, 1) for _ in range(300)]
+    good = lambda: " ".join(rnd.choice(words) for _ in range(120))
+    littered = lambda: " ".join(rnd.choice(words) + rnd.choice(["", " ###", " $$$", " %%%"]) for _ in range(120))
+    rows = [(i, good()) for i in range(400)] + [(1000 + i, littered()) for i in range(40)] + [(2000, "short"), (2001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(300)] + [(2000,), (None,)], "doc_id long")
+    got = {r.doc_id: r for r in quality.judge(df, trusted).collect()}
+    least = min(got[i].score for i in range(300))
+    assert all(got[i].kept == (not got[i].base_failed and got[i].score >= least) for i in got)
+    assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept for i in range(40))
+    many = spark.range(2500).select((F.col("id") % 1250).cast("double").alias("score"))
+    assert quality.threshold(many).first().least == 1.0
+    assert all(r.kept != r.base_failed for r in quality.judge(df, trusted.limit(0)).collect())
