@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmart.llm import bpe, mixing, pii, probminhash, quality, registry
+from parcelmart.llm.columns import held
 from parcelmart.sources.staging import stage as staged
 
 #: SQL cannot express the hashed, trained and random stages; tests compare them with brute-force versions.
 ORACLE_SQL = None
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -23,11 +25,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _plain(quality.judge(_plain(docs), registry.trusted_documents(spark, sf_dir)).filter("kept"))
 
 
+def _with_id(docs: DataFrame) -> DataFrame:
+    """The plain columns and _id, 128 bits that depend on all of them: rows share it if they are alike in every column."""
+    plain = _plain(docs)
+    # NULL is told from every value, and each value from what follows it by its length.
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in _COLUMNS]
+    return plain.withColumn("_id", held(F.substring(F.sha2(F.concat(*parts), 256), 1, 32)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id. Of rows that repeat an id one stays."""
-    judged = probminhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    kept = docs.join(judged, docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_semi")
-    return _plain(kept)
+    """One row of each group of near duplicates: one of smallest doc_id (NULL last), of equal ids the same one in every run.
+
+    Rows are documents of their own, also those that repeat an id; rows without words are in no group and all stay.
+    """
+    rows = _with_id(docs)
+    # Rows alike in all columns are of one group if they have words; one of them stands for all.
+    worded = rows.filter(F.col("text").rlike(_WORD))
+    groups = probminhash.near_duplicates(worded, key="_id").select("_id", "class_id").distinct()
+    ids = worded.select("_id", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_id")))["_id"]
+    kept = groups.join(ids, "_id").groupBy("class_id").agg(first.alias("_id")).select("_id")
+    one_each = worded.dropDuplicates(["_id"]).join(kept, "_id", "left_semi")
+    wordless = rows.filter(~F.coalesce(F.col("text").rlike(_WORD), F.lit(False)))
+    return _plain(one_each.unionByName(wordless))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +57,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to twice; those it does not take go."""
-    sized = docs.select("doc_id", "source", registry.word_count("text").alias("size"))
-    copies = mixing.mix_sources(sized).filter("copies > 0").select("doc_id", "source", "copies")
-    same = docs["doc_id"].eqNullSafe(copies["doc_id"]) & docs["source"].eqNullSafe(copies["source"])
-    taken = docs.join(copies, same).select(*(docs[c] for c in _COLUMNS), "copies")
+    """Each row as often as the mix takes it, up to twice; those it does not take go."""
+    rows = _with_id(docs)
+    sized = rows.select("_id", "source", registry.word_count("text").alias("size"))
+    # Rows alike in all columns are interchangeable: their copies are added up and taken from one of them.
+    copies = mixing.mix_sources(sized, key="_id").groupBy("_id").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = rows.dropDuplicates(["_id"]).join(copies, "_id").select(*_COLUMNS, "copies")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*_COLUMNS)
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parcelmart.llm import licenses, probminhash, quality
 
 
@@ -72,3 +73,53 @@ def test_quality_threshold_comes_from_the_trusted_documents(spark):
     many = spark.range(2500).select((F.col("id") % 1250).cast("double").alias("score"))
     assert quality.threshold(many).first().least == 1.0
     assert all(r.kept != r.base_failed for r in quality.judge(df, trusted.limit(0)).collect())
+
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def rows_of(df) -> Counter:
+    return Counter(tuple(r[c] for c in COLUMNS) for r in df.collect())
+
+
+def test_pipeline_near_duplicates_of_repeated_ids(spark):
+    rnd = random.Random(9)
+    a, b, c, d, e = (prose(rnd, 120) for _ in range(5))
+    near = lambda t: t + " ending"
+    # Groups: rows that repeat each other, other texts of one id, near copies of a text whose id another kept row bears.
+    groups = [
+        [(1, a), (1, a), (1, a), (5, near(a))],
+        [(1, b), (2, near(b)), (2, near(b))],
+        [(2, c), (3, near(c))],
+        [(3, d), (3, near(d))],
+        [(None, e), (7, near(e))],
+    ]
+    wordless = [(8, ""), (8, ""), (9, None), (9, None)]
+    rows = [(i, t, "en", f"s{len(t or '') % 2}", len(t or "")) for g in [*groups, wordless] for i, t in g]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = rows_of(corpus_pipeline.near_duplicates(spark, df, ""))
+    left = Counter((i, t) for (i, t, *_), n in got.items() for _ in range(n))
+    for g in groups:
+        mine = [x for x in set(g) if x in left]
+        least = min((i for i, _ in g if i is not None), default=None)
+        assert len(mine) == 1 and left[mine[0]] == 1 and mine[0][0] == least, (g, mine)
+    assert Counter({x: left[x] for x in wordless}) == Counter(wordless)
+    assert sum(left.values()) == len(groups) + len(wordless)
+    assert got == rows_of(corpus_pipeline.near_duplicates(spark, df.repartition(5), ""))
+
+
+def test_pipeline_mixing_of_repeated_rows(spark):
+    rnd = random.Random(10)
+    text = prose(rnd, 40)
+    rows = [(i, prose(rnd, rnd.randint(20, 60)), "en", f"s{i % 3}", 1) for i in range(300)]
+    rows += [(5, text, "en", "s1", 1)] * 60 + [(5, text + " more", "en", "s1", 1)] * 20 + [(6, prose(rnd, 40), "en", "s1", 1) for _ in range(20)]
+    rows += [(None, text, None, "s2", 1)] * 10 + [(None, text, "s2", None, 1)] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got, given = rows_of(corpus_pipeline.source_mixing(spark, df, "")), Counter(rows)
+    assert got.keys() <= given.keys() and all(n <= 2 * given[r] for r, n in got.items())
+    sized = [(k, r[3], len(r[1].split())) for k, r in enumerate(rows)]
+    mixed = corpus_pipeline.mixing.mix_sources(spark.createDataFrame(sized, "doc_id long, source string, size long")).collect()
+    for source, target in {r.source: r.target for r in mixed}.items():
+        taken = sum(n * len(r[1].split()) for r, n in got.items() if r[3] == source)
+        assert abs(taken - target) <= max(61, 0.02 * target), (source, taken, target)
+    assert got == rows_of(corpus_pipeline.source_mixing(spark, df.repartition(5), ""))
