@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -123,3 +125,17 @@ def test_pipeline_mixing_of_repeated_rows(spark):
         taken = sum(n * len(r[1].split()) for r, n in got.items() if r[3] == source)
         assert abs(taken - target) <= max(61, 0.02 * target), (source, taken, target)
     assert got == rows_of(corpus_pipeline.source_mixing(spark, df.repartition(5), ""))
+
+
+def test_blocks_keep_pairs_four_deviations_under_the_similarity():
+    n = probminhash.BLOCK_REGISTERS
+    agree = 0.8 - 4 * (0.8 * 0.2 / n) ** 0.5
+    one = np.arange(n, dtype=np.uint32)
+    two = np.where(np.floor((one + 1) * agree) > np.floor(one * agree), one, one + n).astype(np.uint32)
+    block = pd.DataFrame(
+        [(7, 0, c, c, 0, 0, 0, bands, r.tobytes()) for c, bands, r in ((b"a", [1, 2], one), (b"b", [1, 3], two))],
+        columns=["bucket", "band", "c", "component", "own", "low", "high", "bands", "registers"],
+    )
+    assert probminhash._block_pairs(0.8)(block).to_numpy().tolist() == [[b"a", b"b"]]
+    far = block.assign(registers=[one.tobytes(), np.where(one % 2 == 0, one, one + n).astype(np.uint32).tobytes()])
+    assert not len(probminhash._block_pairs(0.8)(far))
