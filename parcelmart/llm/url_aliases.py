@@ -66,13 +66,12 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, tail))
 
 
-def html_target(html: Column) -> Column:
-    """Address in a canonical link or else a refresh of a page's head; empty without one."""
+def html_targets(html: Column) -> Column:
+    """Addresses in a canonical link and in a refresh of a page's head, as an array."""
     link = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = F.when(href != "", href).otherwise(refresh)
-    return F.when(html.rlike(r"(?i)canonical|http-equiv"), found).otherwise(F.lit(""))
+    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(F.array(href, refresh), lambda x: x != ""))
 
 
 def resolve(base: Column, target: Column) -> Column:
@@ -121,7 +120,8 @@ def judge_urls(
         matched_rule(host, path, rules, lambda r: r.verdict).alias("_own"),
         canonical(url).alias("_key"),
     )
-    edges = pages.select(canonical(url).alias("a"), canonical(resolve(url, html_target(F.col("html")))).alias("b"))
+    targets = pages.select("url", F.explode(html_targets(F.col("html"))).alias("_target"))
+    edges = targets.select(canonical(url).alias("a"), canonical(resolve(url, F.col("_target"))).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(canonical(F.col("src")).alias("a"), canonical(F.col("dst")).alias("b")))
     component = connected_components(edges.filter("a <> b")).select(F.col("node").alias("_key"), F.col("component").alias("_alias"))

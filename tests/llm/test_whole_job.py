@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelmart.llm import licenses, probminhash, quality
+from parcelmart.llm import licenses, probminhash, quality, url_aliases
 
 
 def prose(rnd: random.Random, n: int) -> str:
@@ -139,3 +139,16 @@ def test_blocks_keep_pairs_four_deviations_under_the_similarity():
     assert probminhash._block_pairs(0.8)(block).to_numpy().tolist() == [[b"a", b"b"]]
     far = block.assign(registers=[one.tobytes(), np.where(one % 2 == 0, one, one + n).astype(np.uint32).tobytes()])
     assert not len(probminhash._block_pairs(0.8)(far))
+
+
+def test_refresh_counts_beside_a_canonical_link(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = [
+        (1, "http://here.com/a", '<link rel="canonical" href="http://here.com/a">' + refresh % "http://b.example.org/es/q"),
+        (2, "http://b.example.org/es/q", ""),
+        (3, "http://here.com/c", '<link rel="canonical" href="http://here.com/d">' + refresh % "http://b.example.org/es/q"),
+        (4, "http://here.com/d", None),
+        (5, "http://here.com/e", '<link rel="canonical" href="http://here.com/e">'),
+    ]
+    got = url_aliases.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
