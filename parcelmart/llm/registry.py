@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, licenses, mixing, near_vectors, pii, probminhash, quality, repeats, url_aliases
+from . import bpe, kneser_ney, licenses, mixing, near_vectors, pii, probminhash, quality, repeats, shard_tree, url_aliases
+from .shard_oracle import shard_sql
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,6 +80,23 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, folder, "documents"), keep_first=False)
 
 
+#: Shards of the query, and what one more makes of them.
+SHARDS = 8
+
+
+def op12_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    docs = _table(spark, folder, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = shard_tree.place(docs, shard_tree.tree_for(SHARDS))
+    placed = shard_tree.place(placed, shard_tree.tree_for(SHARDS + 1), names=("_g", "_k", "grown_shard"))
+    columns = ["doc_id", "size", "text_crc32", "region", "rack", "shard", "grown_shard"]
+    return shard_tree.slots(placed, columns).withColumn("law", F.lit("key"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_byte_bpe,
         op10_repeats,
+        op12_shard_tree,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_shard_tree": shard_sql(shard_tree.tree_for(SHARDS), shard_tree.tree_for(SHARDS + 1))}

@@ -1,0 +1,59 @@
+"""DuckDB SQL for the shards of a hash tree."""
+
+from __future__ import annotations
+
+from .shard_tree import DIGITS, RUN, Tree, leaves_in_order, levels
+
+#: CRC-32 of a text's bytes, by a table of 256 steps that the polynomial makes.
+CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || range(8)::BIGINT[],
+                          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) AS r(i)))"""
+
+
+def crc32(text: str) -> str:
+    """Beside the one row of ``crc``: a lambda may use its column t, but no subquery."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = "xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda a, b: {step}), 4294967295)"
+
+
+def _descent(name: str, tree: Tree) -> str:
+    """(doc, spot): the number of the leaf that each row of ``docs`` comes to."""
+    parts, above = [], "SELECT doc, k, 0 AS spot FROM docs"
+    for depth, level in enumerate(levels(tree)):
+        rows = ", ".join(f"({up}, {i}, '{label}', {weight!r}::DOUBLE)" for up, own in enumerate(level) for i, label, weight in own)
+        parts.append(
+            f"""{name}{depth} AS (
+  SELECT doc, k, arg_min(i, -ln((('0x' || substr(md5(k || label), 1, {DIGITS}))::BIGINT + 0.5::DOUBLE) / {float(16**DIGITS)!r}::DOUBLE) / w) AS spot
+  FROM ({above}) JOIN (VALUES {rows}) AS node(up, i, label, w) ON up = spot GROUP BY doc, k)"""
+        )
+        above = f"SELECT doc, k, spot FROM {name}{depth}"
+    return ",\n".join(parts)
+
+
+def shard_sql(tree: Tree, grown: Tree) -> str:
+    def leaves(tree: Tree) -> str:
+        return ", ".join(f"({i}, '{x.region}', '{x.rack}', {x.shard})" for i, x in enumerate(leaves_in_order(tree)))
+
+    key = "coalesce(doc_id::VARCHAR, 'null')"
+    columns = "doc_id, size, text_crc32, region, rack, shard, grown_shard"
+    text = " || ':' || ".join(f"coalesce({c.strip()}::VARCHAR, 'null')" for c in columns.split(","))
+    return f"""WITH {CRC_TABLE},
+docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, {key} AS k, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         {crc32("coalesce(text, '')")} AS text_crc32
+  FROM documents CROSS JOIN crc),
+{_descent("now", tree)},
+{_descent("later", grown)},
+placed AS (
+  SELECT doc_id, size, text_crc32, a.region, a.rack, a.shard, b.shard AS grown_shard
+  FROM docs JOIN now2 USING (doc) JOIN later2 USING (doc)
+  JOIN (VALUES {leaves(tree)}) AS a(spot, region, rack, shard) ON a.spot = now2.spot
+  JOIN (VALUES {leaves(grown)}) AS b(spot, region, rack, shard) ON b.spot = later2.spot),
+runs AS (
+  SELECT *, (row_number() OVER (PARTITION BY {columns}) - 1) // {RUN} AS run FROM placed)
+SELECT {columns}, 'key' AS law,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5({text} || ':' || run::VARCHAR), 1, {DIGITS}), {columns}) - 1 AS slot
+FROM runs"""
