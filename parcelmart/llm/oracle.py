@@ -1,4 +1,4 @@
-"""DuckDB SQL for the shards of a hash tree."""
+"""DuckDB SQL that gives the same rows as the queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -57,3 +57,49 @@ runs AS (
 SELECT {columns}, 'key' AS law,
        row_number() OVER (PARTITION BY shard ORDER BY substr(md5({text} || ':' || run::VARCHAR), 1, {DIGITS}), {columns}) - 1 AS slot
 FROM runs"""
+
+
+def _leaf(fields: tuple[str, ...]) -> str:
+    parts = (f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields)
+    return f"sha256({' || '.join(parts)})"
+
+
+def _climb(name: str, start: str, group: str, fan: int) -> str:
+    """(grp, h, idx, digest, n): the nodes of all levels, n of them on the level; from (grp, idx, digest)."""
+    return f"""{name} AS (
+  SELECT {group} AS grp, 0 AS h, idx, digest, count(*) OVER (PARTITION BY {group}) AS n FROM {start}
+  UNION ALL
+  SELECT grp, h + 1, idx // {fan}, sha256(string_agg(digest, '' ORDER BY idx)), (n + {fan - 1}) // {fan}
+  FROM {name} WHERE n > 1 GROUP BY grp, h, idx // {fan}, n)"""
+
+
+def _walk(name: str, nodes: str, start: str, fan: int) -> str:
+    """(leaf, grp, h, idx, cur, proof): each leaf on its way up, cur folded from what it is now."""
+    return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT w.leaf, w.grp, w.h + 1, w.idx // {fan},
+         sha256(string_agg(CASE WHEN u.idx = w.idx THEN w.cur ELSE u.digest END, '' ORDER BY u.idx)),
+         w.proof || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx <> w.idx), '')
+  FROM {name} AS w JOIN {nodes} AS u ON u.grp = w.grp AND u.h = w.h AND u.idx // {fan} = w.idx // {fan} AND u.n > 1
+  GROUP BY w.leaf, w.grp, w.h, w.idx, w.cur, w.proof)"""
+
+
+def merkle_sql(fields: tuple[str, ...], fan: int) -> str:
+    lower = tuple("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if f == "text" else f for f in fields)
+    return f"""WITH RECURSIVE {CRC_TABLE},
+digests AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS grp, {_leaf(fields)} AS digest,
+         CASE WHEN {crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf(lower)} END AS changed
+  FROM documents CROSS JOIN crc),
+leaves AS (
+  SELECT *, row_number() OVER () AS leaf, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM digests),
+{_climb("up", "leaves", "grp", fan)},
+subroots AS (SELECT grp AS name, digest, h AS height, row_number() OVER (ORDER BY grp) - 1 AS idx FROM up WHERE n = 1),
+{_climb("high", "subroots", "0", fan)},
+{_walk("walk", "up", "SELECT leaf, grp, 0 AS h, idx, coalesce(changed, digest) AS cur, '' AS proof FROM leaves", fan)},
+arrived AS (
+  SELECT w.leaf, w.grp, w.cur, w.proof, s.digest AS subroot, s.idx FROM walk AS w JOIN subroots AS s ON s.name = w.grp AND s.height = w.h),
+{_walk("last", "high", "SELECT leaf, 0 AS grp, 0 AS h, idx, cur, proof FROM arrived", fan)}
+SELECT l.doc_id, l.digest AS leaf, a.subroot, r.digest AS root, sha256(t.proof) AS proof_sha256, t.cur AS folded_root, t.cur = r.digest AS verified
+FROM leaves AS l JOIN arrived AS a USING (leaf) JOIN (SELECT * FROM high WHERE n = 1) AS r ON true JOIN last AS t ON t.leaf = l.leaf AND t.h = r.h"""

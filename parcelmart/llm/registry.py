@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, licenses, mixing, near_vectors, pii, probminhash, quality, repeats, shard_tree, url_aliases
-from .shard_oracle import shard_sql
+from . import bpe, kneser_ney, licenses, merkle, mixing, near_vectors, pii, probminhash, quality, repeats, shard_tree, url_aliases
+from .oracle import merkle_sql, shard_sql
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,6 +80,13 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, folder, "documents"), keep_first=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    made = merkle.manifest(docs, changed=changed, now=merkle.folded_case(merkle.FIELDS))
+    return merkle.prove(made).withColumnRenamed("id", "doc_id")
+
+
 #: Shards of the query, and what one more makes of them.
 SHARDS = 8
 
@@ -110,8 +117,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_byte_bpe,
         op10_repeats,
+        op11_merkle_manifest,
         op12_shard_tree,
     )
 }
 
-ORACLE: dict[str, str] = {"op12_shard_tree": shard_sql(shard_tree.tree_for(SHARDS), shard_tree.tree_for(SHARDS + 1))}
+ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": merkle_sql(merkle.FIELDS, merkle.FAN),
+    "op12_shard_tree": shard_sql(shard_tree.tree_for(SHARDS), shard_tree.tree_for(SHARDS + 1)),
+}
