@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, licenses, merkle, mixing, near_vectors, pii, probminhash, quality, repeats, shard_tree, url_aliases
+from . import bpe, kneser_ney, licenses, merkle, mixing, near_vectors, pii, probminhash, quality, repeats, shard_tree, url_aliases, whitening
 from .oracle import merkle_sql, shard_sql
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -104,6 +104,10 @@ def op12_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return shard_tree.slots(placed, columns).withColumn("law", F.lit("key"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_repeats,
         op11_merkle_manifest,
         op12_shard_tree,
+        op13_whitening,
     )
 }
 
