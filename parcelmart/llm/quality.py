@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ from .columns import held
 BUCKETS = 10_000
 #: The threshold of the scores leaves at most this share of the trusted documents that pass the base rules below it.
 LOST_TRUSTED = 0.001
+#: Bits of the filter of trusted keys, 4 MB, and how many stand for a key: one other key in forty passes at 4 million keys.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 4
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed")
+
+
 def _each(array: Column, function) -> Column:
     return F.transform(array, function)
 
@@ -99,9 +106,48 @@ def buckets(hashes: Column, n: int = BUCKETS) -> Column:
     return F.concat(single, pair)
 
 
+def _positions(key: Column, bits: int) -> list[Column]:
+    """The bits of a filter that stand for a key: two hashes and their combinations."""
+    first, second = F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
+    # Bitwise arithmetic on halves: products of whole hashes would overflow.
+    low = F.lit((1 << 31) - 1)
+    return [F.pmod(first.bitwiseAND(low) + F.lit(i) * second.bitwiseAND(low), F.lit(bits)) for i in range(FILTER_HASHES)]
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """One row (bits): a Bloom filter of the keys, as an array of bitmaps of 2^15 bits, NULL where no key has a bit.
+
+    Its size is ``bits``, whatever the number of keys. A filter that fills up lets more keys through, but never loses one.
+    """
+    spots = keys.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at"))
+    maps = spots.groupBy(F.shiftright("at", 15).cast("int").alias("i")).agg(
+        F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << 15) - 1))).alias("map")
+    )
+    every = keys.sparkSession.range(bits >> 15).select(F.col("id").cast("int").alias("i")).join(maps, "i", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("i", "map")))
+    return every.agg(F.transform(ordered, lambda x: x["map"]).alias("bits"))
+
+
+def may_hold(found: Column, key: Column, bits: int = FILTER_BITS) -> Column:
+    """Whether the filter lets a key through: all keys of the filter, and a few others."""
+    through = key.isNotNull()
+    for at in _positions(key, bits):
+        octet = F.substring(F.get(found, F.shiftright(at, 15).cast("int")), F.shiftright(at.bitwiseAND(F.lit((1 << 15) - 1)), 3).cast("int") + 1, F.lit(1))
+        value = F.conv(F.hex(octet), 16, 10).cast("int")
+        through = through & F.coalesce(F.getbit(value, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return through
+
+
 def trusted_texts(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The texts of the documents whose key ``trusted`` lists."""
-    return docs.select(key, text).join(trusted.select(F.col(key)).distinct(), key, "left_semi").select(text)
+    """The texts of the documents whose key ``trusted`` lists.
+
+    Trusted keys may be many, so none is broadcast: a filter of fixed size drops all other texts (but a few) in the scan, and a
+    merge join at any size decides on the rest. Only trusted texts are shuffled.
+    """
+    keys = trusted.select(F.col(key)).distinct()
+    known = stage(key_filter(keys, key), "quality-filter").select("bits").scalar()
+    near = docs.select(key, text).filter(may_hold(known, F.col(key)))
+    return near.hint("merge").join(keys.hint("merge"), key, "left_semi").select(text)
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, text: str = "text") -> DataFrame:
@@ -158,8 +204,9 @@ def judge(
     most_repeated: float = 50.0,
     text: str = "text",
     key: str = "doc_id",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with the repetition counts, base_failed, score and kept.
+    """``docs`` (or their ``columns``) with the repetition counts, base_failed, score and kept.
 
     ``score`` is the sum of bucket ratios over a text's words and word pairs, divided by their number (0 without any);
     every document is kept or not by the same threshold, without a draw. The threshold is ``least_score`` or, if none is
@@ -167,15 +214,17 @@ def judge(
     below. Without such documents the score rejects nothing. base_failed: fewer than ``least_words`` words,
     or more than ``most_repeated`` percent of them in repeated 3-word windows. A NULL text is empty. Repeated rows
     are judged alike; NULL keys are never trusted; an empty table gives no rows. The ratios are one row of ``n`` numbers,
-    whatever the input's size.
+    whatever the input's size. ``columns`` must hold the key unless a ``least_score`` is given.
     """
-    good = stage(trusted_texts(docs, trusted, text, key), "quality-trusted")
-    ratios = stage(bucket_ratios(docs, good, n, text), "quality-ratios")
-    rules = (n, least_words, most_repeated, text)
+    ratios = stage(bucket_ratios(docs, trusted_texts(docs, trusted, text, key), n, text), "quality-ratios")
+    rows = _scored(docs, ratios, n, least_words, most_repeated, text)
+    if columns is not None:
+        rows = rows.select(*columns, *MEASURES)
     if least_score is None:
-        scores = stage(_scored(good, ratios, *rules).filter("not base_failed").select("score"), "quality-trusted-scores")
-        least = F.coalesce(stage(threshold(scores), "quality-threshold").scalar(), F.lit(float("-inf")))
+        # Scored once: the threshold needs the trusted rows' scores, which are joined without the texts.
+        rows = stage(rows, "quality-scored")
+        scores = rows.filter("not base_failed").select(key, "score").join(trusted.select(F.col(key)).distinct(), key, "left_semi")
+        least = F.coalesce(stage(threshold(scores.select("score")), "quality-threshold").scalar(), F.lit(float("-inf")))
     else:
         least = F.lit(least_score)
-    rows = _scored(docs, ratios, *rules)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))

@@ -49,7 +49,7 @@ def trusted_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return quality.judge(docs, trusted_documents(spark, folder)).drop("text")
+    return quality.judge(docs, trusted_documents(spark, folder), columns=["doc_id"])
 
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:

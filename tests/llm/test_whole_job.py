@@ -152,3 +152,28 @@ def test_refresh_counts_beside_a_canonical_link(spark):
     ]
     got = url_aliases.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_trusted_texts_are_found_without_moving_the_others(spark):
+    rnd = random.Random(14)
+    rows = [(i, prose(rnd, 60)) for i in range(400)] + [(None, prose(rnd, 60)), (3, prose(rnd, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 400, 9)] + [(0,), (None,), (10**12,)], "doc_id long")
+    want = sorted(t for i, t in rows if i is not None and i % 9 == 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in ("-1", threshold):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        found = quality.trusted_texts(docs, trusted)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert sorted(r.text for r in found.collect()) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keys = spark.range(0, 2000, 2).toDF("k")
+    for bits in (1 << 15, 1 << 17):
+        known = quality.key_filter(keys, "k", bits).first().bits
+        assert len(known) == bits >> 15
+        through = spark.range(20_000).withColumn("in", quality.may_hold(quality.key_filter(keys, "k", bits).select("bits").scalar(), F.col("id"), bits))
+        hits = {r.id for r in through.filter("in").collect()}
+        assert set(range(0, 2000, 2)) <= hits and len(hits) < 1000 + 19_000 * 0.05
+    empty = quality.key_filter(keys.limit(0), "k", 1 << 15).select("bits").scalar()
+    assert spark.range(100).filter(quality.may_hold(empty, F.col("id"), 1 << 15)).count() == 0
