@@ -350,10 +350,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, key: str = "vec_id"
     spark = vectors.sparkSession
     shown = rows.select("key", "dim", "x").mapInArrow(lambda b: _project(b, models), _schema(rows))
     shown = stage(shown, "whitened")
-    # At most ``components`` rows for each length of a vector.
+    # At most ``components`` rows for each length of a vector, for which the driver holds a model already: broadcast, or
+    # all vectors of a length would meet in one task.
     component = spark.createDataFrame(shares, "dim int, component int, n long, live boolean, explained double")
     of_length = component.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("component", "n", "live", "explained"))).alias("of"))
-    wide = shown.join(of_length, "dim")
+    wide = shown.join(F.broadcast(of_length), "dim")
     live = lambda i: F.get("of", F.lit(i))["live"]
     entry = lambda i: F.when(live(i), F.get("w", F.lit(i)))
     errors = [
@@ -361,7 +362,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, key: str = "vec_id"
     ]
     greatest = F.array_max(F.array(*errors)) if errors else F.lit(None).cast("double")
     identity = wide.groupBy("dim").agg(greatest.alias("identity_error"))
-    long = shown.join(identity.join(of_length, "dim"), "dim").select("key", "deviation", "w", "identity_error", F.explode("of").alias("c"))
+    measured = identity.join(F.broadcast(of_length), "dim")
+    long = shown.join(F.broadcast(measured), "dim").select("key", "deviation", "w", "identity_error", F.explode("of").alias("c"))
     return long.select(
         F.col("key").alias(key),
         F.col("c.component").alias("component"),
