@@ -1,9 +1,9 @@
 """Exact evaluation of a (label, score) table at any size; scores are probabilities, labels 0 or 1, both non-null.
 
-Curves need running counts in score order. ``ranked_scores`` first collapses equal scores, then cuts the score range
-into cells by the number of rows they hold, so a crowded range is spread over many tasks, and adds per-cell
-offsets to the running counts inside each cell. Cells follow from counts alone, so a recomputed task
-cannot see other cells than the first attempt did.
+Curves need running counts in score order. ``ranked_scores`` first collapses equal scores, then cuts them into cells at
+quantiles of the scores themselves, so that cells are alike in size however the scores are spread; cells that the sketch
+has left too large are cut again at quantiles of their own. Per-cell offsets are added to the running counts inside each
+cell. Borders are subqueries: one value for all tasks of a query, also for those that run again.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.inference import error_cost
+from ..functions.search import borders_below
 from .quantiles import exact_percentiles
 
-_BINS = 4096
+#: Cells that one sketch tells apart.
+_CELLS = 1024
+_FRACTIONS = [i / _CELLS for i in range(1, _CELLS)]
 # 0.01, 0.02 .. 0.99.
 THRESHOLDS = [0.01 + i * 0.01 for i in range(99)]
 
@@ -31,39 +34,50 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
+def _borders(sketch: Column, rows: Column, cell_rows: int) -> Column:
+    """Of the sketch's ``_CELLS`` - 1 quantiles those that cut so many rows into cells of about ``cell_rows``."""
+    cells = F.least(F.ceil(rows / F.lit(cell_rows)), F.lit(_CELLS)).cast("int")
+    chosen = F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.get(sketch, F.floor(i * F.lit(_CELLS) / cells).cast("int") - 1))
+    return F.when(cells > 1, chosen).otherwise(F.array().cast("array<double>"))
+
+
+def score_cells(counts: DataFrame, cell_rows: int) -> DataFrame:
+    """``counts``, one row per distinct score, with the cell (outer, inner) of each; cells rise with the score.
+
+    A cell holds at most twice ``cell_rows`` scores up to ``_CELLS`` squared times that many: outer cells are cut
+    at quantiles of all scores, and those that hold more than twice ``cell_rows`` at quantiles of their own.
+    """
+    sketched = [F.count(F.lit(1)).alias("n"), F.percentile_approx("score", _FRACTIONS, 10 * _CELLS).alias("sketch")]
+    cut = _borders(F.col("sketch"), F.col("n"), cell_rows).alias("b")
+    first = counts.agg(*sketched).select(cut).scalar()
+    placed = counts.withColumn("_b", first).select(*counts.columns, borders_below(F.col("_b"), F.col("score"), _CELLS).alias("outer"))
+    crowded = placed.groupBy("outer").agg(*sketched).filter(F.col("n") > 2 * cell_rows).select("outer", cut)
+    # At most _CELLS rows of fewer than _CELLS borders, in one array by outer cell.
+    known = crowded.agg(F.map_from_entries(F.collect_list(F.struct("outer", "b"))).alias("known"))
+    none = F.array().cast("array<double>")
+    of_cell = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda i: F.coalesce(F.try_element_at("known", i), none))
+    second = known.select(of_cell.alias("b")).scalar()
+    own = placed.withColumn("_c", second).withColumn("_b", F.get("_c", F.col("outer")))
+    return own.select(*placed.columns, borders_below(F.col("_b"), F.col("score"), _CELLS).alias("inner"))
+
+
 def ranked_scores(df: DataFrame, label: str, score: str, cell_rows: int = 1_000_000) -> DataFrame:
     """One row per distinct score with ``tp`` and ``fp``: positives and negatives scored at or above it."""
-    position = F.col("score") * _BINS
-    counts = score_counts(df, label, score).withColumn(
-        "bin", F.least(F.greatest(F.floor(position), F.lit(0)), F.lit(_BINS - 1)).cast("int")
-    )
-    # At most 4096 rows, one per bin: how many cells it needs, and the range of scores they share.
-    sizes = counts.groupBy("bin").agg(
-        F.ceil(F.sum(F.col("pos") + F.col("neg")) / F.lit(cell_rows)).alias("parts"),
-        F.min("score").alias("lowest"),
-        F.max("score").alias("highest"),
-    )
-    share = F.try_divide(F.col("score") - F.col("lowest"), F.col("highest") - F.col("lowest"))
-    cells = counts.join(F.broadcast(sizes), "bin").select(
-        "score", "pos", "neg", "bin", F.floor(F.coalesce(share, F.lit(0.0)) * F.col("parts")).alias("cell")
-    )
-
-    # One row per cell, at most 4096 + rows / cell_rows of them, so one task can add them up.
-    before = Window.orderBy(F.desc("bin"), F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = score_cells(score_counts(df, label, score), cell_rows)
+    # One row per cell, so many as the distinct scores divided by cell_rows: one task can add them up.
+    before = Window.orderBy(F.desc("outer"), F.desc("inner")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cells.groupBy("bin", "cell")
+        cells.groupBy("outer", "inner")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .select(
-            "bin",
-            "cell",
+            "outer",
+            "inner",
             F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp_before"),
             F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp_before"),
         )
     )
-    in_cell = (
-        Window.partitionBy("bin", "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return cells.join(offsets, ["bin", "cell"]).select(
+    in_cell = Window.partitionBy("outer", "inner").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.join(offsets, ["outer", "inner"]).select(
         "score",
         "pos",
         "neg",

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import at, order
 from parcelmart.operators.events import event_intervals, order_event_intervals, unpivot_events
@@ -84,17 +85,34 @@ def fine_ranges(spark):
 @pytest.mark.parametrize("keys, hours", [(60, [0, 1, 5, 30, 31, 200, 1000]), (8, [0, 1, 2]), (8, [0])])
 def test_keys_and_moments_of_any_size(spark, fine_ranges, keys, hours):
     rows = _random_events(random.Random(3), 1500, keys, hours)
-    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e string")
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e string").repartition(3)
     assert _of(event_intervals(df, "k", "t", "e"), "k", "t", "e") == _naive(rows)
+    assert _of(event_intervals(df, "k", "t", "e", cell_rows=20), "k", "t", "e") == _naive(rows)
+
+
+def test_hot_keys_are_cut_into_cells_of_like_size(spark, fine_ranges):
+    start = datetime(2024, 1, 1)
+    rows = [(1 if i % 3 else i, start + timedelta(minutes=i * i % 7919), "ab"[i % 2], i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, e string, id int").repartition(4)
+    got = event_intervals(df, "k", "t", "e", ["id"], cell_rows=200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # One shuffle of rows; the others carry one row per cell.
+    assert plan.count("Exchange hashpartitioning(h#") - plan.count("_before") >= 1 and "rangepartitioning" not in plan
+    tied = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3]))
+    want = {b[3]: (a[2], (b[1] - a[1]).total_seconds() / 3600) if a[0] == b[0] else (None, None) for a, b in zip(tied, tied[1:])}
+    want[tied[0][3]] = (None, None)
+    found = {r.id: (r.previous_event, r.hours_since_previous) for r in got.collect()}
+    assert all(found[i][0] == w[0] and (w[1] is None or abs(found[i][1] - w[1]) < 1e-9) for i, w in want.items())
+    sizes = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 4000 * 0.6
 
 
 def test_one_key_one_moment_is_spread_over_ranges(spark, fine_ranges):
-    """Copies of one event differ by no column and still land in several ranges."""
+    """Copies of one event differ by no column and still land in several tasks."""
     rows = [(1, datetime(2024, 1, 1), "a")] * 20_000
-    df = event_intervals(spark.createDataFrame(rows, "k int, t timestamp_ntz, e string").repartition(4), "k", "t", "e")
+    df = event_intervals(spark.createDataFrame(rows, "k int, t timestamp_ntz, e string").repartition(4), "k", "t", "e", cell_rows=1000)
     assert df.groupBy("previous_event", "hours_since_previous").count().orderBy("count").collect() == [(None, None, 1), ("a", 0.0, 19_999)]
-    files = {f.rsplit("/", 1)[1] for f in df.inputFiles()}
-    assert len(files) > 1
+    assert df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 12_000
 
 
 def test_other_columns_stay_and_ties_order_equal_events(spark, fine_ranges):
