@@ -17,7 +17,8 @@ from .textbytes import RangeHash, blocks, flat_utf8, mix, sorted_counts
 
 LENGTH = 200
 #: Bytes of an anchor; a string of ``LENGTH`` bytes holds LENGTH - ANCHOR + 1 of them and belongs to the one of least hash.
-ANCHOR = 32
+#: A third of the string: much shorter ones, a few words, stand in many texts by chance, and their zones would all be ordered.
+ANCHOR = 64
 #: Zones of one anchor that one task orders; anchors with more of them take the way of hashed strings.
 GROUP_ZONES = 1_000
 #: Bytes whose suffixes are ordered at once.
@@ -219,19 +220,56 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in ``order``, at most ``length``; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    for at in range(1, len(order), 20_000):
+        stop = min(at + 20_000, len(order))
+        unlike = windows[order[at - 1 : stop - 1]] != windows[order[at:stop]]
+        out[at:stop] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), length)
+    return out
+
+
+def _smaller_before(place: list[int], shared: list[int]) -> list[int]:
+    """Of each entry: the bytes shared with the nearest one before it whose place is smaller, 0 without one.
+
+    ``shared`` are the bytes that an entry and the one before it have in common; two entries share the least of those between.
+    """
+    out, places, least = [], [], []
+    for p, common in zip(place, shared):
+        while places and places[-1] > p:
+            places.pop()
+            common = min(common, least.pop())
+        out.append(common if places else 0)
+        places.append(p)
+        least.append(common)
+    return out
+
+
+def longest_factors(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each entry of a suffix order, whose suffixes start at ``place``.
+
+    The suffix with which a start shares most among those at smaller places is, in suffix order, the nearest one of smaller place
+    before it or behind it: the longer of the two shared prefixes is the longest previous factor.
+    """
+    before = _smaller_before(place.tolist(), shared.tolist())
+    behind = _smaller_before(place[::-1].tolist(), np.concatenate([[0], shared[:0:-1]]).tolist())
+    return np.maximum(np.array(before, np.int64), np.array(behind[::-1], np.int64))
+
+
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start: whether its longest previous factor, and its longest next factor, reach ``length``.
+    """For each start: its longest previous factor and its longest next factor, counted up to ``length`` bytes.
 
-    Starts are put in suffix order, told apart by ``length`` bytes and then by position. Suffixes that agree in that many
-    bytes are neighbours, so the previous (next) smaller position in suffix order that agrees, if there is any, is
-    the neighbour before; the next greater one is the neighbour behind. The factor reaches ``length`` just if that neighbour shares the rank.
+    Starts are put in suffix order, told apart by ``length`` bytes and then by position. The next factor is the previous one of
+    the positions read backwards.
     """
     rank = suffix_ranks(data, length)[starts]
     order = np.lexsort((starts, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
+    place, shared = starts[order], common_prefixes(data, starts[order], length)
+    earlier, later = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    earlier[order] = longest_factors(place, shared)
+    later[order] = longest_factors(-place, shared)
     return earlier, later
 
 
@@ -262,7 +300,7 @@ def _ordered_bits(batches: Iterator[pa.RecordBatch], length: int, shards: int, k
         owner = np.repeat(np.arange(len(rows)), number)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
         earlier, later = previous_factors(data, (np.cumsum(sizes) - sizes)[owner] + step, length)
-        found = earlier if keep_first else earlier | later
+        found = (earlier >= length) | (later >= length) & (not keep_first)
         key = np.array([r[1] for r in rows], np.int64).view(np.uint64)
         return _bit_batch(key, owner[found], step[found], shards)
 

@@ -368,6 +368,21 @@ def brute_repeats(rows, length, keep_first):
     return sorted(out, key=str)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(8)
+    for n, letters in ((1, 2), (60, 2), (400, 3), (300, 1)):
+        data = rng.integers(97, 97 + letters, n + 20).astype(np.uint8)
+        starts = np.arange(n)
+        earlier, later = repeats.previous_factors(data, starts, 20)
+        text = data.tobytes()
+
+        def shared(i, j):
+            return next((k for k in range(20) if text[i + k] != text[j + k]), 20)
+
+        assert earlier.tolist() == [max([shared(i, j) for j in range(i)], default=0) for i in range(n)]
+        assert later.tolist() == [max([shared(i, j) for j in range(i + 1, n)], default=0) for i in range(n)]
+
+
 @pytest.mark.parametrize("zones", [1000, 2])
 @pytest.mark.parametrize("keep_first", [True, False])
 def test_repeats(spark, monkeypatch, zones, keep_first):
