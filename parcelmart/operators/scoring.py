@@ -2,8 +2,8 @@
 
 Curves need running counts in score order. ``ranked_scores`` first collapses equal scores, then cuts them into cells at
 quantiles of the scores themselves, so that cells are alike in size however the scores are spread; cells that the sketch
-has left too large are cut again at quantiles of their own. Per-cell offsets are added to the running counts inside each
-cell. Borders are subqueries: one value for all tasks of a query, also for those that run again.
+has left too large are cut again at quantiles of their own, until none is. Per-cell offsets are added to the running counts
+inside each cell.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from .quantiles import exact_percentiles
 
 #: Cells that one sketch tells apart.
 _CELLS = 1024
-_FRACTIONS = [i / _CELLS for i in range(1, _CELLS)]
 # 0.01, 0.02 .. 0.99.
 THRESHOLDS = [0.01 + i * 0.01 for i in range(99)]
 
@@ -34,56 +33,50 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def _borders(sketch: Column, rows: Column, cell_rows: int) -> Column:
-    """Of the sketch's ``_CELLS`` - 1 quantiles those that cut so many rows into cells of about ``cell_rows``."""
-    cells = F.least(F.ceil(rows / F.lit(cell_rows)), F.lit(_CELLS)).cast("int")
-    chosen = F.transform(F.sequence(F.lit(1), cells - 1), lambda i: F.get(sketch, F.floor(i * F.lit(_CELLS) / cells).cast("int") - 1))
-    return F.when(cells > 1, chosen).otherwise(F.array().cast("array<double>"))
+def _cut(cells: DataFrame, cell_rows: int) -> DataFrame | None:
+    """``cells`` with those of more than twice ``cell_rows`` scores cut at quantiles of their own; None if there are none.
 
-
-def score_cells(counts: DataFrame, cell_rows: int) -> DataFrame:
-    """``counts``, one row per distinct score, with the cell (outer, inner) of each; cells rise with the score.
-
-    A cell holds at most twice ``cell_rows`` scores up to ``_CELLS`` squared times that many: outer cells are cut
-    at quantiles of all scores, and those that hold more than twice ``cell_rows`` at quantiles of their own.
+    The borders, fewer than scores / cell_rows, come to the driver: all tasks of later jobs, and those that run again, use the same.
+    """
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * cell_rows)
+    crowded = {r["cell"]: r["n"] for r in sizes.collect()}
+    if not crowded:
+        return None
+    spark, parts = cells.sparkSession, {c: min(_CELLS, -(-n // cell_rows)) for c, n in crowded.items()}
+    few = F.broadcast(spark.createDataFrame(list(parts.items()), "cell long, parts int"))
+    sketch = F.percentile_approx("score", [i / _CELLS for i in range(1, _CELLS)], 10 * _CELLS).alias("sketch")
+    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("sketch", F.floor(i * F.lit(_CELLS) / F.col("parts")).cast("int") - 1))
+    found = cells.join(few, "cell").groupBy("cell", "parts").agg(sketch).select("cell", at.alias("borders")).collect()
+    borders = F.broadcast(spark.createDataFrame(found, "cell long, borders array<double>"))
+    split = cells.join(borders, "cell", "left")
+    below = F.when(F.col("borders").isNotNull(), borders_below(F.col("borders"), F.col("score"), _CELLS)).otherwise(0)
+    return split.select("score", "pos", "neg", (F.col("cell") * _CELLS + below).alias("cell"))
+
+
+def score_cells(counts: DataFrame, cell_rows: int) -> tuple[DataFrame, int]:
+    """``counts``, one row per distinct score, with a cell that rises with the score, and how often cells were cut.
+
+    All scores are one cell at first; cells are cut until none holds more than twice ``cell_rows`` scores.
     """
-    sketched = [F.count(F.lit(1)).alias("n"), F.percentile_approx("score", _FRACTIONS, 10 * _CELLS).alias("sketch")]
-    cut = _borders(F.col("sketch"), F.col("n"), cell_rows).alias("b")
-    first = counts.agg(*sketched).select(cut).scalar()
-    placed = counts.withColumn("_b", first).select(*counts.columns, borders_below(F.col("_b"), F.col("score"), _CELLS).alias("outer"))
-    crowded = placed.groupBy("outer").agg(*sketched).filter(F.col("n") > 2 * cell_rows).select("outer", cut)
-    # At most _CELLS rows of fewer than _CELLS borders, in one array by outer cell.
-    known = crowded.agg(F.map_from_entries(F.collect_list(F.struct("outer", "b"))).alias("known"))
-    none = F.array().cast("array<double>")
-    of_cell = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda i: F.coalesce(F.try_element_at("known", i), none))
-    second = known.select(of_cell.alias("b")).scalar()
-    own = placed.withColumn("_c", second).withColumn("_b", F.get("_c", F.col("outer")))
-    return own.select(*placed.columns, borders_below(F.col("_b"), F.col("score"), _CELLS).alias("inner"))
+    cells, rounds = counts.withColumn("cell", F.lit(0).cast("long")), 0
+    while (finer := _cut(cells, cell_rows)) is not None:
+        cells, rounds = finer, rounds + 1
+    return cells, rounds
 
 
 def ranked_scores(df: DataFrame, label: str, score: str, cell_rows: int = 1_000_000) -> DataFrame:
     """One row per distinct score with ``tp`` and ``fp``: positives and negatives scored at or above it."""
-    cells = score_cells(score_counts(df, label, score), cell_rows)
+    cells, rounds = score_cells(score_counts(df, label, score), cell_rows)
+    in_cell = Window.partitionBy("cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, fp = F.sum("pos").over(in_cell), F.sum("neg").over(in_cell)
+    if not rounds:
+        return cells.select("score", "pos", "neg", tp.alias("tp"), fp.alias("fp"))
     # One row per cell, so many as the distinct scores divided by cell_rows: one task can add them up.
-    before = Window.orderBy(F.desc("outer"), F.desc("inner")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cells.groupBy("outer", "inner")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select(
-            "outer",
-            "inner",
-            F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp_before"),
-            F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp_before"),
-        )
-    )
-    in_cell = Window.partitionBy("outer", "inner").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return cells.join(offsets, ["outer", "inner"]).select(
-        "score",
-        "pos",
-        "neg",
-        (F.col("tp_before") + F.sum("pos").over(in_cell)).alias("tp"),
-        (F.col("fp_before") + F.sum("neg").over(in_cell)).alias("fp"),
-    )
+    before = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = sums.select("cell", offset("pos").alias("tp_before"), offset("neg").alias("fp_before"))
+    return cells.join(offsets, "cell").select("score", "pos", "neg", (F.col("tp_before") + tp).alias("tp"), (F.col("fp_before") + fp).alias("fp"))
 
 
 def _auc() -> Column:

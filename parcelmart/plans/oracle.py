@@ -325,6 +325,11 @@ score_counts AS (
 ), curve AS (
   SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM score_counts
 )"""
+_SKEWED = """
+skewed AS (
+  SELECT (l_returnflag = 'R')::INT AS label, x * x * x * x / 20::DOUBLE AS score
+  FROM (SELECT l_returnflag, l_extendedprice::DOUBLE / 100000::DOUBLE AS x FROM lineitem)
+)"""
 _AUC = "sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE"
 _AP = "sum(pos * (tp / (tp + fp)::DOUBLE)) / sum(pos)"
 _BRIER = "sum(pos * (1 - score) * (1 - score) + neg * score * score) / sum(pos + neg)"
@@ -778,6 +783,10 @@ ORACLE: dict[str, str] = {
     ),
     "roc_auc": _model("roc_auc:d", f"SELECT {_AUC} AS roc_auc FROM curve", _CURVE.format(rows="scored")),
     "roc_auc_small_cells": _model("roc_auc:d", f"SELECT {_AUC} AS roc_auc FROM curve", _CURVE.format(rows="scored")),
+    "roc_auc_skewed": _model("roc_auc:d", f"SELECT {_AUC} AS roc_auc FROM curve", _SKEWED, _CURVE.format(rows="skewed")),
+    "average_precision_skewed": _model(
+        "average_precision:d", f"SELECT {_AP} AS average_precision FROM curve", _SKEWED, _CURVE.format(rows="skewed")
+    ),
     "average_precision": _model(
         "average_precision:d", f"SELECT {_AP} AS average_precision FROM curve", _CURVE.format(rows="scored")
     ),

@@ -531,6 +531,17 @@ _on_scores(
 )
 _on_scores("roc_auc", lambda s: scoring.roc_auc(s, "label", "score"))
 _on_scores("roc_auc_small_cells", lambda s: scoring.roc_auc(s, "label", "score", cell_rows=100))
+
+
+def _skewed_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Prices to the fourth power: most scores stand in a small part of their range."""
+    x = F.col("l_extendedprice").cast("double") / F.lit(100_000.0)
+    lines = star.read_star(spark, directory, ["lineitem"])["lineitem"]
+    return lines.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (x * x * x * x / F.lit(20.0)).alias("score"))
+
+
+query("roc_auc_skewed")(lambda spark, d: scoring.roc_auc(_skewed_scores(spark, d), "label", "score", cell_rows=500))
+query("average_precision_skewed")(lambda spark, d: scoring.average_precision(_skewed_scores(spark, d), "label", "score", cell_rows=500))
 _on_scores("average_precision", lambda s: scoring.average_precision(s, "label", "score"))
 _on_scores("brier", lambda s: scoring.brier(s, "label", "score"))
 _on_scores("alert_metrics", lambda s: scoring.alert_metrics(s, "label", F.col("score") >= 0.1))

@@ -43,6 +43,33 @@ def test_auc_and_average_precision(spark, kind, cell_rows):
     assert V.average_precision(df, "y", "s", cell_rows).first()[0] == pytest.approx(_average_precision(label, score), abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["fourth power", "two heaps", "tiny range", "logarithmic"])
+def test_cells_are_small_however_scores_are_spread(spark, kind, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, wanted = 60_000, 300
+    x = rng.random(n)
+    score = {
+        "fourth power": x**4 / 20,
+        "two heaps": np.where(x < 0.999, 0.3 + x * 1e-9, x),
+        "tiny range": 0.5 + x * 1e-9,
+        "logarithmic": 10.0 ** (-300 * x),
+    }[kind]
+    label = (rng.random(n) < 0.3).astype(int)
+    df = spark.createDataFrame([(int(y), float(s)) for y, s in zip(label, score)], "y int, s double").repartition(5)
+    monkeypatch.setattr(V, "_CELLS", 64)  # so that cells are cut more than once
+    cells, rounds = V.score_cells(V.score_counts(df, "y", "s"), wanted)
+    assert rounds >= 1
+    spans = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("cell").collect()
+    assert max(r.n for r in spans) <= 2 * wanted and len(spans) < 8 * n / wanted
+    assert all(a.high < b.low for a, b in zip(spans, spans[1:]))
+    ranked = {s: i for i, s in enumerate(np.unique(-score))}
+    rank = np.array([ranked[s] for s in -score])
+    pos, neg = rank[label == 1], np.sort(rank[label == 0])
+    below, upto = np.searchsorted(neg, pos, "left"), np.searchsorted(neg, pos, "right")
+    auc = np.mean((len(neg) - upto + 0.5 * (upto - below)) / len(neg))
+    assert V.roc_auc(df, "y", "s", wanted).first()[0] == pytest.approx(auc, abs=1e-12)
+
+
 def test_one_class_has_no_auc(spark):
     df = _frame(spark, [1, 1], [0.2, 0.4])
     assert V.roc_auc(df, "y", "s").first()[0] is None
