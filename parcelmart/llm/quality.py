@@ -15,8 +15,8 @@ from .columns import held
 BUCKETS = 10_000
 #: The threshold of the scores leaves at most this share of the trusted documents that pass the base rules below it.
 LOST_TRUSTED = 0.001
-#: Bits of the filter of trusted keys, 4 MB, and how many stand for a key: one other key in forty passes at 4 million keys.
-FILTER_BITS, FILTER_HASHES = 1 << 25, 4
+#: Bits of the filter of trusted keys, 512 KB, and how many stand for a key: one other key in seven passes at a million keys.
+FILTER_BITS, FILTER_HASHES = 1 << 22, 4
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
