@@ -146,8 +146,15 @@ def orders_missing_customer(orders: DataFrame, customers: DataFrame) -> DataFram
     return _unmatched(orders, customers, "customer_id", "orders_missing_customer")
 
 
+#: Column of a scanned table that names, per row, what could not be read.
+UNREAD = "_unread"
+
+
 def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All controls as one row. The four mart counters share one pass over the mart."""
+    """All controls as one row. The four mart counters share one pass over the mart.
+
+    ``unread_values`` counts the values of all tables whose text could not be read; NULL if no table says (see ``scan_csv``).
+    """
     has = F.coalesce("eligible", F.lit(False))
     counters = mart.agg(
         F.struct(
@@ -162,8 +169,10 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
             F.count_if(has & ~F.col("valid_stages")).alias("invalid_stage_eligible"),
         ).alias("c")
     ).scalar()
-    totals = tables["items"].agg(F.struct(F.count(F.lit(1)).alias("n"), exact_sum("price").alias("price"))).scalar()
-    sizes = {name: _scalar(df, F.count(F.lit(1))) for name, df in tables.items() if name != "items"}
+    n = F.count(F.lit(1)).alias("n")
+    unread = lambda df: F.coalesce(F.sum(F.size(UNREAD)), F.lit(0)) if UNREAD in df.columns else F.lit(None).cast("long")
+    totals = tables["items"].agg(F.struct(n, exact_sum("price").alias("price"), unread(tables["items"]).alias("unread"))).scalar()
+    sizes = {name: df.agg(F.struct(n, unread(df).alias("unread"))).scalar() for name, df in tables.items() if name != "items"}
     facts = mart.sparkSession.range(1).select(
         counters.alias("c"),
         totals.alias("i"),
@@ -173,10 +182,12 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
         orders_missing_customer(tables["orders"], tables["customers"]).scalar().alias("orders_missing_customer"),
     )
     gap = F.col("i.price") - F.col("c.value")
-    counts = [F.col("i.n" if name == "items" else f"raw.{name}").alias(name) for name in tables]
+    of = lambda name, what: F.col(f"i.{what}" if name == "items" else f"raw.{name}.{what}")
+    counts = [of(name, "n").alias(name) for name in tables]
+    lost = F.array_compact(F.array(*(of(name, "unread") for name in tables)))
     return facts.select(
         F.struct(*counts).alias("raw_counts"),
-        ((F.col("c.n") == F.col("c.keys")) & (F.col("c.n") == F.col("raw.orders"))).alias("order_grain_pass"),
+        ((F.col("c.n") == F.col("c.keys")) & (F.col("c.n") == F.col("raw.orders.n"))).alias("order_grain_pass"),
         (F.abs(gap) < 0.01).alias("item_value_reconciled"),
         gap.cast("double").alias("item_value_difference_brl"),
         "c.ineligible_orders",
@@ -186,4 +197,5 @@ def quality_report(mart: DataFrame, tables: Mapping[str, DataFrame]) -> DataFram
         "extra_review_rows",
         "items_missing_product",
         "orders_missing_customer",
+        F.when(F.size(lost) > 0, F.aggregate(lost, F.lit(0).cast("long"), lambda a, x: a + x)).alias("unread_values"),
     )

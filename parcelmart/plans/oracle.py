@@ -377,7 +377,8 @@ SELECT {counts},
        (SELECT count(*) FROM raw_items WHERE product_id NOT IN (SELECT product_id FROM raw_products))
          AS items_missing_product,
        (SELECT count(*) FROM raw_orders WHERE customer_id NOT IN (SELECT customer_id FROM raw_customers))
-         AS orders_missing_customer
+         AS orders_missing_customer,
+       (SELECT count(*) FROM raw_items WHERE order_id % 13 = 0) AS unread_values
 FROM (SELECT (SELECT sum(price::DECIMAL(28,6)) FROM raw_items) - (SELECT sum(item_value_brl::DECIMAL(28,6)) FROM mart)
       AS gap)""".format(counts=", ".join(f"(SELECT count(*) FROM {t}) AS {n}" for n, t in _COUNTS.items()))
 
@@ -519,9 +520,12 @@ ORACLE: dict[str, str] = {
         " ".join(f"{n}:i" for n in _COUNTS)
         + " order_grain_pass:i item_value_reconciled:i item_value_difference_brl:d ineligible_orders:i"
         " missing_review_eligible:i pre_delivery_reviews:i invalid_stage_eligible:i extra_review_rows:i"
-        " items_missing_product:i orders_missing_customer:i",
+        " items_missing_product:i orders_missing_customer:i unread_values:i",
         _QUALITY,
     ),
+    "unread_values": _source(
+        "column:s n:i", "SELECT 'freight_value' AS \"column\", count(*) AS n FROM raw_items WHERE order_id % 13 = 0"
+    ),
     # mart
     "item_summary": _mart(
         "order_id:i item_count:n seller_count:n item_value_brl:d freight_charged_brl:d category_count:n category:s"

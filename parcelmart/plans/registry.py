@@ -132,7 +132,7 @@ def _on_sources(name: str, build: Callable[[dict[str, DataFrame]], DataFrame]) -
 @query("scan_csv")
 def _(spark, directory):
     items = star.load_sources(spark, directory)["items"]
-    path = staging.fresh_path(spark, "items-csv")
+    path = staging.fresh_path(spark, "query-items-csv")
     sinks.write(items, path, "csv")
     return readers.scan_csv(spark, path, items.schema)
 
@@ -140,7 +140,7 @@ def _(spark, directory):
 @query("scan_csv_mixed_headers")
 def _(spark, directory):
     items = star.load_sources(spark, directory)["items"]
-    path = staging.fresh_path(spark, "items-mixed-csv")
+    path = staging.fresh_path(spark, "query-items-mixed-csv")
     odd = F.pmod(F.xxhash64("order_id"), F.lit(2)) == 1
     sinks.write(items.filter(odd), f"{path}/a", "csv")
     sinks.write(items.filter(~odd).select(*reversed(items.columns)), f"{path}/b", "csv")
@@ -155,7 +155,7 @@ def _(spark, directory):
 
 @query("scan_csv_infer")
 def _(spark, directory):
-    path = staging.fresh_path(spark, "export-csv")
+    path = staging.fresh_path(spark, "query-export-csv")
     sinks.write(mart.bi_export(staged_mart(spark, directory)), path, "csv")
     return replay.replay_aggregate(readers.scan_csv(spark, path))
 
@@ -185,7 +185,7 @@ def _(spark, directory):
 
 @query("scan_parquet")
 def _(spark, directory):
-    path = staging.fresh_path(spark, "reviews-parquet")
+    path = staging.fresh_path(spark, "query-reviews-parquet")
     sinks.write(star.load_sources(spark, directory)["reviews"], path, "parquet")
     return readers.scan_parquet(spark, path)
 
@@ -193,14 +193,14 @@ def _(spark, directory):
 @query("sink_csv")
 def _(spark, directory):
     export = mart.bi_export(staged_mart(spark, directory))
-    path = staging.fresh_path(spark, "export-csv")
+    path = staging.fresh_path(spark, "query-export-csv")
     sinks.write(export, path, "csv")
     return readers.scan_csv(spark, path, export.schema)
 
 
 @query("sink_parquet")
 def _(spark, directory):
-    path = staging.fresh_path(spark, "export-parquet")
+    path = staging.fresh_path(spark, "query-export-parquet")
     sinks.write(mart.bi_export(staged_mart(spark, directory)), path, "parquet")
     return readers.scan_parquet(spark, path)
 
@@ -208,7 +208,7 @@ def _(spark, directory):
 @query("sink_parquet_by_month")
 def _(spark, directory):
     export = mart.bi_export(staged_mart(spark, directory))
-    path = staging.fresh_path(spark, "export-months")
+    path = staging.fresh_path(spark, "query-export-months")
     sinks.write_by_month(export, path)
     # Rebuilding the months of one year must replace them and leave the other months alone.
     sinks.write_by_month(export.filter(F.year("purchase_month") == 1996), path)
@@ -218,7 +218,7 @@ def _(spark, directory):
 
 @query("sink_parquet_by_state")
 def _(spark, directory):
-    path = staging.fresh_path(spark, "replay-states")
+    path = staging.fresh_path(spark, "query-replay-states")
     replayed = replay.replay(mart.bi_export(staged_mart(spark, directory)), 3)
     sinks.write(replayed, path, "parquet", ["customer_state"])
     return replay.replay_aggregate(readers.scan_parquet(spark, path, replayed.schema))
@@ -227,7 +227,7 @@ def _(spark, directory):
 @query("sink_json")
 def _(spark, directory):
     summary = kpis.headline(staged_mart(spark, directory))
-    path = staging.fresh_path(spark, "summary-json")
+    path = staging.fresh_path(spark, "query-summary-json")
     sinks.write_json(summary.select(F.struct("*").alias("summary")), path)
     schema = T.StructType([T.StructField("summary", summary.schema)])
     return readers.scan_json(spark, path, schema).select("summary.*")
@@ -235,7 +235,7 @@ def _(spark, directory):
 
 @query("scan_result_tables")
 def _(spark, directory):
-    segments_path, json_path = (staging.fresh_path(spark, n) for n in ("states-csv", "quality-json"))
+    segments_path, json_path = (staging.fresh_path(spark, n) for n in ("query-states-csv", "query-quality-json"))
     table = segments.segment_table(staged_mart(spark, directory), "customer_state")
     sinks.write(table, segments_path, "csv")
     sinks.write_json(contracts.ineligible_orders(staged_mart(spark, directory)), json_path)
@@ -292,9 +292,23 @@ _on_sources("items_missing_product", lambda t: contracts.items_missing_product(t
 _on_sources("orders_missing_customer", lambda t: contracts.orders_missing_customer(t["orders"], t["customers"]))
 
 
+def _items_as_text(spark: SparkSession, directory: str) -> DataFrame:
+    """Items written as CSV, every thirteenth order's freight as no number, and read again."""
+    items = star.load_sources(spark, directory)["items"]
+    path = staging.fresh_path(spark, "query-items-text")
+    broken = F.when(F.col("order_id") % 13 == 0, "free").otherwise(F.col("freight_value").cast("string"))
+    sinks.write(items.withColumn("freight_value", broken), path, "csv")
+    return readers.scan_csv(spark, path, items.schema, unread=contracts.UNREAD)
+
+
+query("unread_values")(lambda spark, d: readers.unread_counts(_items_as_text(spark, d), contracts.UNREAD))
+
+
 @query("quality_report")
 def _(spark, directory):
-    report = contracts.quality_report(staged_mart(spark, directory), star.load_sources(spark, directory))
+    tables = star.load_sources(spark, directory)
+    tables = {name: _items_as_text(spark, directory) if name == "items" else df for name, df in tables.items()}
+    report = contracts.quality_report(staged_mart(spark, directory), tables)
     return report.select("raw_counts.*", *(c for c in report.columns if c != "raw_counts"))
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import files
+
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
-# Tables with free text, whose quoted fields may hold line breaks. Such files cannot be split between tasks, so large
-# ones should arrive as many files.
+# Tables with free text, whose quoted fields may hold line breaks.
 FREE_TEXT_TABLES = ("reviews",)
 
 
@@ -28,13 +29,21 @@ def require_sources(spark: SparkSession, paths: Iterable[str]) -> None:
         raise FileNotFoundError(f"missing source tables: {', '.join(missing)}")
 
 
-def _by_header(reader: DataFrameReader, path: str, declared: StructType) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path by their header: one line of each is read. A path without rows has one header, its own."""
-    whole = reader.csv(path)
+def _by_header(spark: SparkSession, reader: DataFrameReader, path: str, declared: StructType) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header; one job reads the first record of all of them.
+
+    On a file system that tasks cannot open themselves, Spark reads one line of each file, a job a file. A path
+    without records has one header, its own; if all files agree, the path stands for them.
+    """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file in whole.inputFiles():
-        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
-    groups = groups or {tuple(whole.columns): [path]}
+    if files.mounted(spark, path):
+        for row in files.csv_headers(files.listing(spark, path)).filter("header is not null").collect():
+            groups.setdefault(tuple(row["header"]), []).append(row["path"])
+    else:
+        for file in reader.csv(path).inputFiles():
+            groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    if len(groups) < 2:
+        groups = {next(iter(groups)) if groups else tuple(reader.csv(path).columns): [path]}
     for header in groups:
         missing = [name for name in declared.names if name not in header]
         if missing:
@@ -42,33 +51,71 @@ def _by_header(reader: DataFrameReader, path: str, declared: StructType) -> dict
     return groups
 
 
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _split_records(spark: SparkSession, path: str) -> DataFrame | None:
+    if not files.mounted(spark, path):
+        return None
+    found = files.listing(spark, path)
+    packed = found.filter(F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")).limit(1).count()
+    return None if packed else files.quoted_records(found)
+
+
 def scan_csv(
     spark: SparkSession,
     path: str,
     schema: StructType | None = None,
     ts_format: str | None = None,
     multi_line: bool = False,
+    unread: str | None = None,
 ) -> DataFrame:
     """Headed CSV with declared types, matched by column name; unreadable values become NULL.
 
     Files of one path may have their columns in different orders, or further columns, which pass through as text.
-    Without a schema the types are inferred, which costs a second read of the data.
+    Without a schema the types are inferred, which costs a second read of the data. ``unread`` names a further column: the
+    names of the columns whose text could not be read, per row, or NULL. It comes from the same pass: Spark keeps the text of
+    such records, and only these are taken apart again.
     """
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
     if ts_format:
         reader = reader.option("timestampNTZFormat", ts_format)
     if schema is None:
         return reader.option("inferSchema", True).option("prefersDate", True).csv(path)
-    parts = [
-        reader.schema(StructType([schema[n] if n in schema.names else StructField(n, StringType()) for n in header])).csv(files)
-        for header, files in _by_header(reader, path, schema).items()
-    ]
+    groups = _by_header(spark, reader, path, schema)
+    # Files with quoted line breaks are split by their quotes, where tasks can open them and they are not compressed.
+    records = _split_records(spark, path) if multi_line else None
+    options = {k: str(v) for k, v in CSV_OPTIONS.items() if k != "header"} | {"multiLine": str(multi_line)}
+    options |= {"timestampNTZFormat": ts_format} if ts_format else {}
+    parts = []
+    for header, paths in groups.items():
+        typed = StructType([schema[n] if n in schema.names else StructField(n, StringType()) for n in header])
+        kept = StructType([*typed, StructField(unread, StringType())]) if unread else typed
+        if unread:
+            options["columnNameOfCorruptRecord"] = unread
+        if records is None:
+            part = reader.options(**options).option("header", True).schema(kept).csv(paths)
+        else:
+            own = records if len(groups) == 1 else records.filter(F.col("path").isin(paths))
+            part = own.select(F.from_csv("value", _ddl(kept), options).alias("row")).select("row.*")
+        if unread:
+            text = F.from_csv(unread, ", ".join(f"`{n}` string" for n in header), {k: v for k, v in options.items() if "Corrupt" not in k})
+            lost = [F.when(text[n].isNotNull() & F.col(f"`{n}`").isNull(), F.lit(n)) for n in schema.names if n in header]
+            part = part.withColumn(unread, F.when(F.col(unread).isNotNull(), F.array_compact(F.array(*lost))))
+        parts.append(part)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
     return whole
 
 
+def unread_counts(df: DataFrame, unread: str = "_unread") -> DataFrame:
+    """(column, n): how many values of each column could not be read; ``df`` is a ``scan_csv`` with that column."""
+    named = df.select(F.explode(unread).alias("column"))
+    return named.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scan_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Parquet, with partition folders typed as ``schema`` says; without one Spark guesses their types from the names."""
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -86,15 +133,18 @@ def read_tables(
     fmt: str = "csv",
     ts_format: str | None = None,
     filenames: Mapping[str, str] | None = None,
+    unread: str | None = None,
 ) -> dict[str, DataFrame]:
-    """One DataFrame per table found as ``directory/<name>.<fmt>`` (or the name given in ``filenames``)."""
+    """One DataFrame per table found as ``directory/<name>.<fmt>`` (or the name given in ``filenames``).
+
+    ``unread``: see ``scan_csv``."""
     paths = {
         name: f"{directory.rstrip('/')}/{(filenames or {}).get(name, f'{name}.{fmt}')}" for name in schemas
     }
     require_sources(spark, paths.values())
     if fmt == "csv":
         return {
-            name: scan_csv(spark, path, schemas[name], ts_format, name in FREE_TEXT_TABLES)
+            name: scan_csv(spark, path, schemas[name], ts_format, name in FREE_TEXT_TABLES, unread)
             for name, path in paths.items()
         }
     return {name: spark.read.schema(schemas[name]).format(fmt).load(path) for name, path in paths.items()}
@@ -145,10 +195,13 @@ def register(tables: Mapping[str, DataFrame], prefix: str = "raw_") -> list[str]
 
 
 def source_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file, hashed in the task that reads it (a single file must stay under 2 GB)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """SHA-256 of every file, hashed in the task that reads it, in pieces of a few megabytes.
+
+    On a file system that tasks cannot open themselves, Spark reads each file whole, and refuses those of 2 GB and more.
+    """
+    if files.mounted(spark, path):
+        hashed = files.sha256_of_files(files.listing(spark, path, glob))
+    else:
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+        hashed = whole.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return hashed.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256")

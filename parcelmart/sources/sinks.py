@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, StructType
 
@@ -26,10 +27,54 @@ def write(
     writer.format(fmt).save(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(path, name)
+
+
+def _swap(fs, old, new) -> None:
+    """One partition's folder takes another's place."""
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{new} could not be moved to {old}")
+
+
+def finish_partitions(spark: SparkSession, path: str) -> list[str]:
+    """Put in place the partitions that a run has written whole but not moved; returns their folders.
+
+    A run that stopped while it wrote has left nothing to move: its unfinished folder is deleted.
+    """
+    fs, at = _folder(spark, path)
+    moved: list[str] = []
+    if not fs.exists(at(".")):
+        return moved
+    for status in fs.listStatus(at(".")):
+        name = status.getPath().getName()
+        if not name.startswith("_new-"):
+            continue
+        # The folder's success mark is written last, so a marked folder holds all its partitions.
+        if fs.exists(at(f"{name}/_SUCCESS")):
+            for part in fs.listStatus(at(name)):
+                folder = part.getPath().getName()
+                if part.isDirectory() and "=" in folder:
+                    _swap(fs, at(folder), part.getPath())
+                    moved.append(folder)
+        fs.delete(at(name), True)
+    return moved
+
+
 def write_by_month(df: DataFrame, path: str, month: str = "purchase_month") -> None:
-    """One Parquet partition per month; months absent from ``df`` keep their files."""
+    """One Parquet partition per month; months absent from ``df`` keep their files.
+
+    All months are first written whole beside the old ones, in a folder that readers skip, and then moved into place one by
+    one. A run that ends early leaves every month as it was or as it should be; ``finish_partitions``, with which each
+    run starts, moves what is left. Moving is renaming, so use it where folders can be renamed.
+    """
+    spark = df.sparkSession
     named = df.withColumn("purchase_ym", F.date_format(month, "yyyy-MM")).filter(F.col("purchase_ym").isNotNull())
-    write(named, path, "parquet", ["purchase_ym"], dynamic=True)
+    finish_partitions(spark, path)
+    write(named, f"{path}/_new-{uuid.uuid4().hex}", "parquet", ["purchase_ym"])
+    finish_partitions(spark, path)
 
 
 def _finite(value: Column, kind: DataType) -> Column:

@@ -1,6 +1,9 @@
+import csv
 import hashlib
+import io
 import json
 import os
+import random
 from datetime import datetime
 
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from conftest import FIVE_ORDERS, at
 from parcelmart.operators.mart import bi_export, build_mart
 from parcelmart.schemas import EXPORT_COLUMNS, SOURCE_SCHEMAS
-from parcelmart.sources import readers, sinks, staging
+from parcelmart.sources import files, readers, sinks, staging
 
 
 def _text(*names):
@@ -102,6 +105,104 @@ def test_manifest(spark, tmp_path):
     assert got == {"a.csv": (3, hashlib.sha256(b"abc").hexdigest())}
 
 
+def test_manifest_of_a_file_above_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 5
+    with open(tmp_path / "big.bin", "wb") as file:
+        file.seek(size - 1)
+        file.write(b"x")
+    digest = hashlib.sha256()
+    for _ in range(2048):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(4) + b"x")
+    assert [tuple(r) for r in readers.source_manifest(spark, str(tmp_path)).collect()] == [("big.bin", size, digest.hexdigest())]
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    for i in range(300):
+        (tmp_path / f"f{i}.csv").write_text(f"a,b\n{i},x\n" if i % 2 else f'b,"a"\n"two\nlines",{i}\n')
+    (tmp_path / "empty.csv").write_text("")
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    try:
+        reader = spark.read.options(**readers.CSV_OPTIONS)
+        groups = readers._by_header(spark, reader, str(tmp_path), StructType.fromDDL("a int, b string"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {h: len(f) for h, f in groups.items()} == {("a", "b"): 150, ("b", "a"): 150}
+    assert len(context.statusTracker().getJobIdsForGroup("headers")) <= 2  # Spark lists many files by a job of its own
+    got = readers.scan_csv(spark, str(tmp_path), StructType.fromDDL("a int, b string"), multi_line=True)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(i, "x" if i % 2 else "two\nlines") for i in range(300)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 20])
+def test_one_file_with_quoted_line_breaks_is_read_by_many_tasks(spark, tmp_path, size):
+    rnd = random.Random(size)
+    fields = ["plain", "", 'a "quote"', "two\nlines", "\n\n", '"', "é\r\nü", ",", "long " * 40]
+    rows = [[str(i), rnd.choice(fields), rnd.choice(fields)] for i in range(120 if size > 1 else 12)]
+    with open(tmp_path / "t.csv", "w", newline="") as file:
+        end = "\r\n" if size in (7, 1000) else "\n"
+        writer = csv.writer(file, lineterminator=end)
+        writer.writerows([["id", "x", "y\nz"], *rows])
+        if size % 2:
+            file.write('\n\n999,"no line end","q"')
+            rows.append(["999", "no line end", "q"])
+    records = files.quoted_records(files.listing(spark, str(tmp_path)), size)
+    if 1 < size < 1000:
+        assert records.select(F.spark_partition_id()).distinct().count() > 3
+    got = [next(csv.reader([r.value.replace("\r\n", "\n")] if "\n" not in r.value else io.StringIO(r.value, newline=""))) for r in records.collect()]
+    assert sorted(got) == sorted(rows)
+    if end != "\n":
+        return  # Spark's own reader of whole files leaves the carriage returns in the last column
+    plain = spark.read.options(**readers.CSV_OPTIONS).option("multiLine", True).schema("id int, x string, `y\nz` string").csv(str(tmp_path))
+    split = readers.scan_csv(spark, str(tmp_path), plain.schema, multi_line=True)
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_unread_values_are_counted_by_column(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "a.csv").write_text('id,n,t,x\n1,5,2018-01-01 00:00:00,1.5\n2,five,soon,\n3,,2018-01-02 00:00:00,x\n4,7.5,"a ""b""",2\n')
+    (tmp_path / "b.csv").write_text("n,id,x,t,other\nmany,5,1,,free\n6,6,1,2018-01-02 00:00:00,\n")
+    schema = StructType.fromDDL("id int, n int, t timestamp_ntz, x double")
+    for multi_line in (False, True):
+        df = readers.scan_csv(spark, str(tmp_path), schema, multi_line=multi_line, unread="_unread")
+        assert {r.column: r.n for r in readers.unread_counts(df).collect()} == {"n": 3, "t": 2, "x": 1}
+        assert {r.id: r._unread for r in df.collect()} == {1: None, 2: ["n", "t"], 3: ["x"], 4: ["n", "t"], 5: ["n"], 6: None}
+
+
+def test_a_run_that_ends_early_leaves_whole_months(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "months")
+    months = [datetime(2018, m, 1).date() for m in (1, 2, 3)]
+    frame = lambda n: spark.createDataFrame([(n + i, m) for i, m in enumerate(months)], "id int, purchase_month date")
+    now = lambda: sorted((r.purchase_ym, r.id) for r in readers.scan_parquet(spark, path).collect())
+    sinks.write_by_month(frame(0), path)
+    old = [("2018-01", 0), ("2018-02", 1), ("2018-03", 2)]
+    assert now() == old
+    broken = frame(10).withColumn("id", F.when(F.col("id") == 12, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_by_month(broken, path)
+    assert now() == old
+    swaps, swap = [], sinks._swap
+
+    def one_only(fs, a, b):
+        if swaps:
+            raise RuntimeError("lost")
+        swaps.append(a)
+        swap(fs, a, b)
+
+    monkeypatch.setattr(sinks, "_swap", one_only)
+    with pytest.raises(RuntimeError, match="lost"):
+        sinks.write_by_month(frame(20), path)
+    between = now()
+    assert all(row in [*old, ("2018-01", 20), ("2018-02", 21), ("2018-03", 22)] for row in between) and len(between) == 3
+    monkeypatch.setattr(sinks, "_swap", swap)
+    assert len(sinks.finish_partitions(spark, path)) == 2
+    assert now() == [("2018-01", 20), ("2018-02", 21), ("2018-03", 22)]
+    assert sinks.finish_partitions(spark, path) == [] and not [p for p in os.listdir(path) if p.startswith("_new")]
+
+
 def test_month_partitions_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "months")
     df = spark.createDataFrame(
