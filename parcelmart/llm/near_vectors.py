@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .columns import held
 from .components import connected_components
 
 _SKETCH_BITS = 64
@@ -139,7 +140,10 @@ def near_links(
         .filter(F.greatest("n", "m") >= least)
         .select("a", "b")
     )
-    unit = lambda side: classes.select(F.col("c").alias(side), F.col("_v").alias(f"_{side}"))
+    # Scaled by the power of two below the greatest entry, which is exact: products can neither overflow nor vanish.
+    power = F.pow(F.lit(2.0), F.least(F.lit(1023), F.floor(F.log2(F.array_max(F.transform("_v", lambda x: F.abs(x)))))))
+    sized = classes.withColumn("_p", held(power))
+    unit = lambda side: sized.select(F.col("c").alias(side), F.transform("_v", lambda x: x / F.col("_p")).alias(f"_{side}"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     norm = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))
     return (

@@ -53,7 +53,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, frequencies=licenses.document_frequencies(docs))
     return found.drop("text", "matches")
 
 
