@@ -84,6 +84,52 @@ def _zones(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Itera
             yield batch, start, stop, own, ends, Zones(own, ends, hasher, length, anchor)
 
 
+def _listed(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+
+#: A document with its zones: where each begins in the text, how many strings it has, and its hashes.
+_WITH_ZONES = "id long, text string, low array<int>, n array<short>, anchor array<long>, key array<long>"
+
+
+def _zone_rows(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    for batch, start, stop, _, ends, zones in _zones(batches, length, anchor):
+        part, cuts = batch.slice(start, stop - start), np.searchsorted(zones.row, np.arange(stop - start + 1))
+        columns = [
+            part.column("id"),
+            part.column("text"),
+            _listed((zones.low - ends[zones.row]).astype(np.int32), cuts, pa.int32()),
+            _listed((zones.high - zones.low + 1).astype(np.int16), cuts, pa.int16()),
+            _listed(zones.anchor.view(np.int64), cuts, pa.int64()),
+            _listed(zones.key.view(np.int64), cuts, pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "low", "n", "anchor", "key"])
+
+
+class Known:
+    """The zones of some documents as a pass before has written them; ``low`` counts from the text's own beginning."""
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        sizes = None
+        for name in rows.schema.names:
+            if name in ("low", "n", "anchor", "key"):
+                column = rows.column(name)
+                offsets = column.offsets.to_numpy()
+                sizes = np.diff(offsets)
+                values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+                setattr(self, name, values.view(np.uint64) if name in ("anchor", "key") else values.astype(np.int64))
+        self.row = np.repeat(np.arange(rows.num_rows), sizes)
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, first row, last row, bytes, offsets, zones) for each block of documents with zones."""
+    for batch in batches:
+        data, offsets = flat_utf8(batch.column("text"))
+        for start, stop in blocks(offsets):
+            cut = offsets[start : stop + 1]
+            yield batch, start, stop, data[cut[0] : cut[-1]], cut - cut[0], Known(batch.slice(start, stop - start))
+
+
 def _order(batch: pa.RecordBatch, start: int, stop: int) -> np.ndarray:
     """Order of documents: their ids as unsigned numbers, NULL last."""
     ids = batch.column("id").slice(start, stop - start).fill_null(int(_LAST))
@@ -93,14 +139,15 @@ def _order(batch: pa.RecordBatch, start: int, stop: int) -> np.ndarray:
 # Pass 1: anchors that stand at more than one place.
 
 
-def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, anchor: int, shards: int) -> Iterator[tuple]:
+def _send_anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple]:
     held, size = [], 0
 
     def flush() -> Iterator[tuple]:
         key, _, n = sorted_counts(np.concatenate(held), np.ones(size, np.uint64))
         yield from send(1, key, [key, np.minimum(n, 2)], [8, 1], shards)
 
-    for *_, zones in _zones(batches, length, anchor):
+    for batch in batches:
+        zones = Known(batch)
         held.append(zones.anchor)
         size += len(zones.anchor)
         if size > 2_000_000:
@@ -121,7 +168,7 @@ def _save_anchors(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tu
 # Pass 2: zones that stand at more than one place, with the first of them, and anchors whose zones differ.
 
 
-def _send_zones(batches: Iterator[pa.RecordBatch], length: int, anchor: int, shards: int, folder: str) -> Iterator[tuple]:
+def _send_zones(batches: Iterator[pa.RecordBatch], shards: int, folder: str) -> Iterator[tuple]:
     tables = Tables(folder, shards)
     held: list[list[np.ndarray]] = []
     size = 0
@@ -134,11 +181,12 @@ def _send_zones(batches: Iterator[pa.RecordBatch], length: int, anchor: int, sha
         arrays = [key, anchors[at], np.minimum(n, 2), document[at], place[at]]
         yield from send(2, key, arrays, [8, 8, 1, 8, 5], shards)
 
-    for batch, start, stop, _, ends, zones in _zones(batches, length, anchor):
+    for batch in batches:
+        zones = Known(batch)
         (found,) = tables.lookup("anchor", zones.anchor, {})
         at = np.flatnonzero(found)
-        document = _order(batch, start, stop)[zones.row[at]]
-        held.append([zones.key[at], zones.anchor[at], document, (zones.low[at] - ends[zones.row[at]]).astype(np.uint64)])
+        document = _order(batch, 0, batch.num_rows)[zones.row[at]]
+        held.append([zones.key[at], zones.anchor[at], document, zones.low[at].astype(np.uint64)])
         size += len(at)
         if size > 1_000_000:
             yield from flush()
@@ -172,14 +220,14 @@ def _save_zones(batches: Iterator[pa.RecordBatch], shards: int, folder: str) ->
 # Pass 3: order the strings of differing zones of an anchor.
 
 
-def _open_zones(batches: Iterator[pa.RecordBatch], length: int, anchor: int, shards: int, folder: str) -> Iterator[pa.RecordBatch]:
+def _open_zones(batches: Iterator[pa.RecordBatch], length: int, shards: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Each zone of an open anchor once per block: anchor, key, bytes, whether the anchor has very many zones, and where it stands."""
     tables = Tables(folder, shards)
-    for batch, start, stop, data, ends, zones in _zones(batches, length, anchor):
+    for batch, start, stop, data, ends, zones in _known(batches):
         found, hot = tables.lookup("open", zones.anchor, {"hot": 1}, np.uint8)
         at = np.flatnonzero(found)
         document = _order(batch, start, stop)[zones.row[at]]
-        place = zones.low[at] - ends[zones.row[at]]
+        place = zones.low[at]
         key = zones.key[at]
         order = np.lexsort((place, document, key))
         one = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
@@ -188,7 +236,7 @@ def _open_zones(batches: Iterator[pa.RecordBatch], length: int, anchor: int, sha
             [
                 pa.array(zones.anchor[at].view(np.int64)),
                 pa.array(key.view(np.int64)),
-                pa.array([data[i : j + length].tobytes() for i, j in zip(zones.low[at], zones.high[at])], pa.binary()),
+                pa.array([data[i : i + n + length - 1].tobytes() for i, n in zip(zones.low[at] + ends[zones.row[at]], zones.n[at])], pa.binary()),
                 pa.array(hot[at, 0] > 0),
                 pa.array((document ^ np.uint64(1 << 63)).view(np.int64)),
                 pa.array(place),
@@ -364,28 +412,28 @@ def _save_bits(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
 # Pass 4: cut the texts.
 
 
-def _marked(batch, start: int, stop: int, ends: np.ndarray, zones: Zones, tables: Tables, keep_first: bool, size: int, length: int) -> np.ndarray:
+def _marked(batch, start: int, stop: int, ends: np.ndarray, zones: Known, tables: Tables, keep_first: bool, size: int, length: int) -> np.ndarray:
     """Which bytes of a block go."""
     key = zones.key
     repeated, first_document, first_place = tables.lookup("zone", key, {"document": 1, "place": 1}, np.uint64)
     if keep_first:
-        document, place = _order(batch, start, stop)[zones.row], (zones.low - ends[zones.row]).astype(np.uint64)
+        document, place = _order(batch, start, stop)[zones.row], zones.low.astype(np.uint64)
         repeated &= (document != first_document[:, 0]) | (place != first_place[:, 0])
     # A zone that stands at one place, or the first of several: what the order of its anchor's strings has shown.
     _, bits = tables.lookup("bits", key, {"bits": 3}, np.uint64)
-    number = zones.high - zones.low + 1
+    number = zones.n
     owner = np.repeat(np.arange(len(key)), number)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
     word = bits.reshape(-1)[owner * 3 + step // 64] if len(owner) else np.zeros(0, np.uint64)
     go = repeated[owner] | ((word >> (step % 64).astype(np.uint64)) & np.uint64(1) > 0)
-    begin = (zones.low[owner] + step)[go]
+    begin = ((zones.low + ends[zones.row])[owner] + step)[go]
     change = np.bincount(begin, minlength=size + 1)[: size + 1] - np.bincount(begin + length, minlength=size + 1)[: size + 1]
     return np.cumsum(change)[:size] > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, anchor: int, shards: int, folder: str, keep_first: bool, names: list[str], with_text: bool):
+def _cut(batches: Iterator[pa.RecordBatch], length: int, shards: int, folder: str, keep_first: bool, names: list[str], with_text: bool):
     tables = Tables(folder, shards)
-    for batch, start, stop, data, ends, zones in _zones(batches, length, anchor):
+    for batch, start, stop, data, ends, zones in _known(batches):
         gone = _marked(batch, start, stop, ends, zones, tables, keep_first, len(data), length)
         n, removed, spans, kept = [], [], [], []
         for i, j in zip(ends[:-1], ends[1:]):
@@ -423,10 +471,11 @@ def remove_repeats(
     further look. Where zones of one anchor differ, which is at the ends of matches, their strings are put in suffix
     order, and longest previous (and next) factors tell which are repeated. Anchors with more than ``GROUP_ZONES``
     different zones (a short common phrase in many texts) are settled by two hashes for each string, added up before the shuffle.
-    Both ways are exact but for collisions of 64-bit hashes that meet in anchor and content.
+    Both ways are exact but for collisions of 64-bit hashes that meet in anchor and content. So most strings are settled by
+    hashes; factor arrays are made for the zones that differ.
 
-    Four passes over the texts; texts are never shuffled. Between the passes stand sorted hash arrays in the
-    checkpoint folder (repeated anchors, repeated zones, bits of zones), and a task sends an anchor or zone once, however often it
+    Texts are hashed once and written with their zones, and never shuffled; four passes read from these what they need. Between the
+    passes stand sorted hash arrays in the checkpoint folder (repeated anchors, repeated zones, bits of zones), and a task sends an anchor or zone once, however often it
     stands in its texts. A NULL text is empty; keys are integers, NULL last in order; rows that repeat a key and a text
     are documents of their own, except that with ``keep_first`` they count as one place; an empty table gives no rows.
     """
@@ -439,17 +488,19 @@ def remove_repeats(
     def run(sent: DataFrame) -> None:
         sent.agg(F.sum("n")).collect()
 
-    anchors = source.mapInArrow(lambda b: batches_of(_send_anchors(b, length, anchor, shards)), BLOB)
+    # Hashing is most of the work: it is done once, and what it finds is written beside the texts.
+    zoned = stage(source.mapInArrow(lambda b: _zone_rows(b, length, anchor), _WITH_ZONES), "repeat-texts")
+    anchors = zoned.select("anchor").mapInArrow(lambda b: batches_of(_send_anchors(b, shards)), BLOB)
     run(to_shards(anchors, shards).mapInArrow(lambda b: batches_of(_save_anchors(b, folder)), BLOB))
-    zones = source.mapInArrow(lambda b: batches_of(_send_zones(b, length, anchor, shards, folder)), BLOB)
+    zones = zoned.select("id", "low", "anchor", "key").mapInArrow(lambda b: batches_of(_send_zones(b, shards, folder)), BLOB)
     for _ in range(2):
         zones = to_shards(zones, shards).mapInArrow(lambda b: batches_of(_save_zones(b, shards, folder)), BLOB)
     run(zones.filter("kind = 4"))
 
     # Staged, as both ways below read it; only bytes around the ends of matches.
     opened = stage(
-        source.mapInArrow(
-            lambda b: _open_zones(b, length, anchor, shards, folder),
+        zoned.mapInArrow(
+            lambda b: _open_zones(b, length, shards, folder),
             "anchor long, key long, bytes binary, hot boolean, document long, place long",
         ),
         "repeat-zones",
@@ -476,5 +527,5 @@ def remove_repeats(
 
     out = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
     schema = StructType([docs.select(F.col(key).cast("long").alias("id")).schema["id"], *out])
-    cut = source.mapInArrow(lambda b: _cut(b, length, anchor, shards, folder, keep_first, ["id"], with_text), schema)
+    cut = zoned.select("id", "text", "low", "n", "key").mapInArrow(lambda b: _cut(b, length, shards, folder, keep_first, ["id"], with_text), schema)
     return cut.withColumnRenamed("id", key)
