@@ -52,30 +52,57 @@ def order(order_id, status="delivered", delivered=None, estimate="2018-01-05", c
     return tuple(row[c] for c in ORDER_COLUMNS)
 
 
-FIVE_ORDERS = {
+def _shop_order(order_id, delivered, customer="north", status="delivered", promised="2023-03-20"):
+    return order(
+        order_id,
+        status,
+        delivered,
+        promised,
+        customer,
+        order_purchase_timestamp=at("2023-03-10 18:20"),
+        order_approved_at=at("2023-03-10 18:45"),
+        order_delivered_carrier_date=at("2023-03-13 07:10"),
+    )
+
+
+#: A small shop: a basket of two sellers, a late parcel with a hasty review, an order never sent, an untranslated category, a delivery
+#: before the purchase, a customer of unknown state, and two answers of one moment.
+SHOP = {
     "orders": [
-        order("a", delivered="2018-01-05 23:59"),
-        order("b", delivered="2018-01-06"),
-        order("c", status="canceled"),
-        order("d", delivered="2018-01-04"),
-        order("e", delivered="2017-12-31"),
+        _shop_order("basket", "2023-03-20 22:15"),
+        _shop_order("late", "2023-03-21 00:05"),
+        _shop_order("unsent", None, status="unavailable"),
+        _shop_order("vase", "2023-03-16"),
+        _shop_order("backwards", "2023-03-09"),
+        _shop_order("stateless", "2023-03-17 12:00", customer="nowhere"),
+    ],
+    "customers": [("north", "PA"), ("nowhere", None)],
+    "products": [("lamp", "luz", 820.0), ("vase", "vaso", 2400.0), ("bulb", "luz", 60.0)],
+    "sellers": [("atelier", "PA"), ("depot", "CE")],
+    "translation": [("luz", "lighting")],
+    "items": [
+        ("basket", 1, "lamp", "atelier", 64.5, 9.25),
+        ("basket", 2, "bulb", "depot", 7.75, 3.5),
+        ("basket", 3, "bulb", "depot", 7.75, 3.5),
+        ("late", 1, "lamp", "depot", 59.9, 12.0),
+        ("unsent", 1, "bulb", "depot", 8.0, 3.5),
+        ("vase", 1, "vase", "depot", 130.0, 25.4),
+        ("backwards", 1, "lamp", "depot", 61.0, 9.0),
+        ("stateless", 1, "bulb", "atelier", 8.1, 4.0),
     ],
-    "customers": [("customer", "SP")],
-    "products": [("product", "cat", 500.0)],
-    "sellers": [("seller", "RJ")],
-    "translation": [("cat", "category")],
-    "items": [(o, n, "product", "seller", 100.0, 10.0) for o, n in [("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), ("e", 1)]],
     "reviews": [
-        ("r1", "a", 1, at("2018-01-06"), at("2018-01-07")),
-        ("r2", "a", 5, at("2018-01-07"), at("2018-01-08")),
-        ("r3", "b", 1, at("2018-01-03"), at("2018-01-03")),
+        ("q2", "basket", 2, at("2023-03-21"), at("2023-03-22 10:00")),
+        ("q1", "basket", 4, at("2023-03-21"), at("2023-03-22 10:00")),
+        ("q3", "basket", 5, at("2023-03-24"), at("2023-03-25 08:00")),
+        ("q4", "late", 2, at("2023-03-17"), at("2023-03-18 09:30")),
+        ("q5", "stateless", 1, at("2023-03-18"), at("2023-03-19 21:00")),
     ],
 }
 
 
 @pytest.fixture(scope="session")
-def five(make_tables):
-    return make_tables(**FIVE_ORDERS)
+def shop(make_tables):
+    return make_tables(**SHOP)
 
 
 OUTCOME_SCHEMA = (

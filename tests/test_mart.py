@@ -11,37 +11,40 @@ from parcelmart.plans import oracle
 
 
 @pytest.fixture(scope="module")
-def rows(five):
-    return {r.order_id: r for r in M.build_mart(five).collect()}
+def rows(shop):
+    return {r.order_id: r for r in M.build_mart(shop).collect()}
 
 
 def test_grain_and_value(rows):
-    assert sorted(rows) == ["a", "b", "c", "d", "e"]
-    assert rows["a"].item_value_brl == 200
-    assert sum(r.item_value_brl for r in rows.values()) == 600
+    assert sorted(rows) == ["backwards", "basket", "late", "stateless", "unsent", "vase"]
+    assert rows["basket"].item_value_brl == 80 and (rows["basket"].item_count, rows["basket"].seller_count) == (3, 2)
+    assert round(sum(r.item_value_brl for r in rows.values()), 6) == 347
 
 
-def test_same_calendar_day_is_on_time(rows):
-    assert rows["a"].on_time is True
-    assert rows["b"].on_time is False
+def test_the_promised_day_counts_to_its_end(rows):
+    assert rows["basket"].on_time is True and rows["basket"].lateness_days == 0
+    assert rows["late"].on_time is False and rows["late"].lateness_days == 1
 
 
 def test_review_choice_and_timing(rows):
-    assert rows["a"].post_delivery_score == 1 and rows["a"].poor_review is True
-    assert rows["b"].review_score == 1 and rows["b"].poor_review is None
-    assert rows["d"].poor_review is None
+    # Of answers of one moment the one of smaller id.
+    assert rows["basket"].post_delivery_score == 4 and rows["basket"].poor_review is False
+    assert rows["late"].review_score == 2 and rows["late"].poor_review is None
+    assert rows["vase"].poor_review is None
+    assert rows["stateless"].poor_review is True
 
 
-def test_cancelled_and_impossible_orders_are_not_eligible(rows):
-    assert rows["c"].eligible is False and rows["e"].eligible is False
-    assert rows["c"].on_time is None
+def test_unsent_and_impossible_orders_are_not_eligible(rows):
+    assert rows["unsent"].eligible is False and rows["backwards"].eligible is False
+    assert rows["unsent"].on_time is None
 
 
 def test_bands_stages_and_states(rows):
-    assert rows["a"].basket_band == "2+ items" and rows["b"].basket_band == "1 item"
-    assert [o for o in "abcde" if not rows[o].valid_stages] == ["c", "e"]
-    assert all(r.interstate == 1 for r in rows.values())
-    assert len(rows["a"]) == 32
+    assert {o: r.basket_band for o, r in rows.items() if r.basket_band != "1 item"} == {"basket": "2+ items"}
+    assert sorted(o for o, r in rows.items() if not r.valid_stages) == ["backwards", "unsent"]
+    assert {o: r.interstate for o, r in rows.items()} == {"basket": 1, "late": 1, "unsent": 1, "vase": 1, "backwards": 1, "stateless": 0}
+    assert (rows["vase"].category, rows["basket"].category, rows["stateless"].customer_state) == ("unknown", "lighting", None)
+    assert len(rows["basket"]) == 32
 
 
 def test_order_without_items_is_unknown_not_false(make_tables):
@@ -104,15 +107,15 @@ def test_review_ties(make_tables):
     assert got == {"o1": 4, "o2": 5, "o3": 2, "o4": 3}
 
 
-def test_orphan_items_are_left_out(five):
-    parts = [five[n] for n in ("items", "products", "translation", "sellers")]
-    some = five["orders"].filter("order_id <> 'a'")
-    assert "a" in {r.order_id for r in M.item_summary(*parts).collect()}
-    assert "a" not in {r.order_id for r in M.item_summary(*parts, some).collect()}
+def test_orphan_items_are_left_out(shop):
+    parts = [shop[n] for n in ("items", "products", "translation", "sellers")]
+    some = shop["orders"].filter("order_id <> 'vase'")
+    assert "vase" in {r.order_id for r in M.item_summary(*parts).collect()}
+    assert "vase" not in {r.order_id for r in M.item_summary(*parts, some).collect()}
 
 
-def test_no_single_partition_in_the_mart(five):
-    plan = M.build_mart(five)._jdf.queryExecution().toString()
+def test_no_single_partition_in_the_mart(shop):
+    plan = M.build_mart(shop)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
 
 

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from conftest import FIVE_ORDERS
+from conftest import SHOP
 from parcelmart.operators import contracts, features, kpis
 from parcelmart.plans import registry, rebuild
 from parcelmart.sources import readers, staging, star
@@ -18,6 +18,8 @@ def _json(path):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
 def test_all_reports_are_written(spark, tmp_path):
     tables = {name: staging.stage(df, name) for name, df in star.load_sources(spark, DATA).items()}
+    folder = os.path.dirname(staging.fresh_path(spark, "x"))
+    before = set(os.listdir(folder))
     orders = rebuild.rebuild(tables, str(tmp_path), registry.CUTOFFS, registry.MIN_FREQUENCY, raw_path=DATA)
     assert {p.name for p in tmp_path.iterdir()} == {
         "order_analysis", "order_analysis_parquet", "orders_by_month", "summary", "quality", "monthly_kpis",
@@ -41,7 +43,7 @@ def test_all_reports_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "event_intervals")).count() == events.count() >= summary["raw_orders"]
     hashes = spark.read.json(str(tmp_path / "data_manifest"))
     assert {r.file: r.bytes for r in hashes.collect()} == {f: os.path.getsize(f"{DATA}/{f}") for f in os.listdir(DATA)}
-    staged = os.listdir(os.path.dirname(staging.fresh_path(spark, "x")))
+    staged = set(os.listdir(folder)) - before
     assert not [name for name in staged if name.startswith(("model-rows", "model-scores", "model-block", "summary"))]
     assert _json(tmp_path / "quality")["raw_counts"]["orders"] == tables["orders"].count()
     assert readers.scan_csv(spark, str(tmp_path / "thresholds")).count() == 99
@@ -49,7 +51,7 @@ def test_all_reports_are_written(spark, tmp_path):
 
 
 def test_a_failed_contract_writes_nothing(make_tables, tmp_path):
-    tables = make_tables(**{**FIVE_ORDERS, "sellers": [("seller", "RJ"), ("seller", "SP")]})
+    tables = make_tables(**{**SHOP, "sellers": [*SHOP["sellers"], ("depot", "PA")]})
     with pytest.raises(contracts.ContractError, match="raw_sellers"):
         rebuild.rebuild(tables, str(tmp_path / "reports"))
     assert not (tmp_path / "reports").exists()

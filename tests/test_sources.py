@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from conftest import FIVE_ORDERS, at
+from conftest import SHOP, at
 from parcelmart.operators.mart import bi_export, build_mart
 from parcelmart.schemas import EXPORT_COLUMNS, SOURCE_SCHEMAS
 from parcelmart.sources import files, readers, sinks, staging
@@ -24,16 +24,16 @@ def _write_sources(directory):
     for name, schema in SOURCE_SCHEMAS.items():
         with open(f"{directory}/{name}.csv", "w") as out:
             out.write(",".join(schema.names) + "\n")
-            for row in FIVE_ORDERS[name]:
+            for row in SHOP[name]:
                 out.write(",".join("" if v is None else str(v) for v in row) + "\n")
 
 
 def test_mart_from_csv_files(spark, tmp_path):
     _write_sources(tmp_path)
     tables = readers.read_tables(spark, str(tmp_path), SOURCE_SCHEMAS)
-    assert {r.table_name: r.n for r in readers.raw_counts(tables).collect()}["orders"] == 5
-    row = build_mart(tables).filter("order_id = 'a'").first()
-    assert row.on_time is True and row.post_delivery_score == 1
+    assert {r.table_name: r.n for r in readers.raw_counts(tables).collect()}["orders"] == 6
+    row = build_mart(tables).filter("order_id = 'basket'").first()
+    assert row.on_time is True and row.post_delivery_score == 4
 
 
 def test_missing_files_are_named(spark, tmp_path):
@@ -92,9 +92,9 @@ def test_explicit_format_is_zone_free(spark, zone):
     assert got == [datetime(2021, 3, 28, 2, 30), None, None]
 
 
-def test_register_replaces_views(spark, five):
-    assert "raw_orders" in readers.register(five)
-    readers.register({**five, "orders": five["orders"].limit(1)})
+def test_register_replaces_views(spark, shop):
+    assert "raw_orders" in readers.register(shop)
+    readers.register({**shop, "orders": shop["orders"].limit(1)})
     assert spark.table("raw_orders").count() == 1
 
 
@@ -221,19 +221,19 @@ def test_json_has_no_nan(spark, tmp_path):
     assert readers.scan_json(spark, str(tmp_path / "j"), df.schema).first().s.b == 2.5
 
 
-def test_export_columns(five):
-    export = bi_export(build_mart(five))
+def test_export_columns(shop):
+    export = bi_export(build_mart(shop))
     assert export.columns == EXPORT_COLUMNS and "customer_id" not in export.columns
-    assert export.count() == 3
+    assert export.count() == 4
 
 
-def test_staging_uses_the_configured_folder(spark, five):
+def test_staging_uses_the_configured_folder(spark, shop):
     root = spark.conf.get("spark.checkpoint.dir")
     assert staging.checkpoint_root(spark) == root
-    staged = staging.stage(five["orders"], "orders")
+    staged = staging.stage(shop["orders"], "orders")
     assert staged.inputFiles()[0].startswith(f"file://{os.path.realpath(root)}")
-    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, five["orders"].collect()))
-    assert at("2018-01-01") == staged.first().order_purchase_timestamp
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, shop["orders"].collect()))
+    assert at("2023-03-10 18:20") == staged.first().order_purchase_timestamp
 
 
 def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
