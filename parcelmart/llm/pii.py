@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -118,30 +120,39 @@ def span_features(kind: int, span: str, before: str, after: str, after_next: str
     return [f"{KINDS[kind]}:{f}" for f in out]
 
 
+def _atoms(island: str) -> list[int]:
+    """Offsets of the atoms and of the end."""
+    return [m.start() for m in _ATOM.finditer(island)] + [len(island)]
+
+
+def _entities_from(island: str, atoms: list[int], i: int) -> Iterator[tuple[int, int]]:
+    """(atom behind, kind) of what can be an entity that begins with an atom."""
+    alive = [k for k in range(4) if island[atoms[i]] in _ALLOWED[k]]
+    for j in range(i + 1, min(len(atoms) - 1, i + MOST_ATOMS) + 1):
+        part = island[atoms[j - 1] : atoms[j]]
+        alive = [k for k in alive if _ALLOWED[k].issuperset(part)]
+        if not alive:
+            return
+        span = island[atoms[i] : atoms[j]]
+        digits = _NOT_DIGIT.sub("", span)
+        if len(digits) > 19 and 0 not in alive:
+            return
+        yield from ((j, k) for k in alive if _possible(k, span, digits))
+
+
 def candidates(island: str) -> tuple[list[int], list[tuple[int, int, int]]]:
     """(offsets of the atoms and of the end, possible entities as (first atom, atom behind, kind))."""
-    atoms = [m.start() for m in _ATOM.finditer(island)] + [len(island)]
-    out = []
-    for i in range(len(atoms) - 1):
-        alive = [k for k in range(4) if island[atoms[i]] in _ALLOWED[k]]
-        for j in range(i + 1, min(len(atoms) - 1, i + MOST_ATOMS) + 1):
-            part = island[atoms[j - 1] : atoms[j]]
-            alive = [k for k in alive if _ALLOWED[k].issuperset(part)]
-            if not alive:
-                break
-            span = island[atoms[i] : atoms[j]]
-            digits = _NOT_DIGIT.sub("", span)
-            if len(digits) > 19 and 0 not in alive:
-                break
-            out += [(i, j, k) for k in alive if _possible(k, span, digits)]
-    return atoms, out
+    atoms = _atoms(island)
+    return atoms, [(i, j, k) for i in range(len(atoms) - 1) for j, k in _entities_from(island, atoms, i)]
+
+
+def _features_of(island: str, atoms: list[int], i: int, j: int, k: int) -> list[str]:
+    at = lambda p: island[p : p + 1] if p >= 0 else ""
+    return span_features(k, island[atoms[i] : atoms[j]], at(atoms[i] - 1), at(atoms[j]), at(atoms[j] + 1))
 
 
 def _featured(island: str, atoms: list[int], found: list[tuple[int, int, int]]) -> list[list[str]]:
-    at = lambda i: island[i : i + 1] if i >= 0 else ""
-    return [
-        span_features(k, island[atoms[i] : atoms[j]], at(atoms[i] - 1), at(atoms[j]), at(atoms[j] + 1)) for i, j, k in found
-    ]
+    return [_features_of(island, atoms, i, j, k) for i, j, k in found]
 
 
 def _lattice(n: int, found: Sequence[tuple[int, int, int]], scores: Sequence[float]) -> list[list[tuple[int, int, float, int]]]:
@@ -167,24 +178,30 @@ class Field:
         return sum(self.weights.get(f, 0.0) for f in features)
 
     def best(self, island: str) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the entities of the best segmentation, in characters of the island."""
-        atoms, found = candidates(island)
-        if not found:
-            return []
+        """(start, kind, end) of the entities of the best segmentation, in characters of the island.
+
+        Entities are scored as the walk comes to where they begin, and none is kept: of every place only the best sum for
+        each label and where it came from, some eighty bytes.
+        """
+        atoms = _atoms(island)
         n = len(atoms) - 1
-        ends = _lattice(n, found, [self.score(f) for f in _featured(island, atoms, found)])
-        top = [[-math.inf] * 5 for _ in range(n + 1)]
-        back: list[list[tuple[int, int] | None]] = [[None] * 5 for _ in range(n + 1)]
-        top[0][4] = 0.0
-        for j in range(1, n + 1):
-            for i, label, s, _ in ends[j]:
+        pairs = [[self.weights.get(self.pair(a, b), 0.0) for b in range(5)] for a in range(5)]
+        top, start, label_before = array("d", [-math.inf]) * (5 * n + 5), array("i", [0]) * (5 * n + 5), array("b", [4]) * (5 * n + 5)
+        top[4] = 0.0
+        some = False
+        for i in range(n):
+            steps = [(j, k, self.score(_features_of(island, atoms, i, j, k))) for j, k in _entities_from(island, atoms, i)]
+            some = some or bool(steps)
+            for j, k, s in (*steps, (i + 1, 4, 0.0)):
                 for before in range(5):
-                    total = top[i][before] + s + self.weights.get(self.pair(before, label), 0.0)
-                    if total > top[j][label]:
-                        top[j][label], back[j][label] = total, (i, before)
-        out, j, label = [], n, max(range(5), key=lambda x: (top[n][x], x))
+                    total = top[5 * i + before] + s + pairs[before][k]
+                    if total > top[5 * j + k]:
+                        top[5 * j + k], start[5 * j + k], label_before[5 * j + k] = total, i, before
+        if not some:
+            return []
+        out, j, label = [], n, max(range(5), key=lambda x: (top[5 * n + x], x))
         while j:
-            i, before = back[j][label]
+            i, before = start[5 * j + label], label_before[5 * j + label]
             if label < 4:
                 out.append((atoms[i], label, atoms[j]))
             j, label = i, before
@@ -329,7 +346,15 @@ class Finder:
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of the field that touch no span of the patterns."""
         out = []
-        taken = sorted((i, j) for i, _, j in base)
+        # The patterns' spans, run together where they overlap: at most one run can touch a span from the left.
+        begins: list[int] = []
+        ends: list[int] = []
+        for i, _, j in base:
+            if ends and i < ends[-1]:
+                ends[-1] = max(ends[-1], j)
+            else:
+                begins.append(i)
+                ends.append(j)
         for m in _ISLAND.finditer(text):
             found = self.known.get(m[0])
             if found is None:
@@ -340,7 +365,8 @@ class Finder:
                     self.known[m[0]] = found
             for i, kind, j in found:
                 i, j = i + m.start(), j + m.start()
-                if not any(a < j and i < b for a, b in taken):
+                before = bisect_left(begins, j) - 1
+                if before < 0 or ends[before] <= i:
                     out.append((i, kind, j))
         return out
 
