@@ -36,6 +36,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return _written(df, fresh_path(df.sparkSession, name))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged; its results must have been written by then."""
+    _delete(spark, f"{checkpoint_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A ``stage`` whose tables are deleted at the end of the block."""
@@ -49,5 +59,4 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFr
         yield staged
     finally:
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)

@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from parcelmart.schemas import SOURCE_SCHEMAS  # noqa: E402
 from parcelmart.session import local_session  # noqa: E402
+from parcelmart.sources import staging  # noqa: E402
 
 ORDER_COLUMNS = [f.name for f in SOURCE_SCHEMAS["orders"]]
 
@@ -18,6 +19,7 @@ ORDER_COLUMNS = [f.name for f in SOURCE_SCHEMAS["orders"]]
 def spark(tmp_path_factory):
     session = local_session("parcelmart-tests", 8, {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
     yield session
+    staging.drop_staged(session)
     session.stop()
 
 

@@ -236,6 +236,14 @@ def test_staging_uses_the_configured_folder(spark, shop):
     assert at("2023-03-10 18:20") == staged.first().order_purchase_timestamp
 
 
+def test_temporary_tables_go_and_others_stay(spark, shop):
+    kept = staging.stage(shop["sellers"], "kept")
+    with staging.temporary(spark) as stage:
+        gone = stage(shop["sellers"], "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(gone)
+    assert not os.path.exists(gone) and kept.count() == 2
+
+
 def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
     from pyspark.sql.types import StructType
 
