@@ -15,6 +15,8 @@ from ..sources.staging import stage
 BLOCK_ROWS = 4_000
 #: Left-over fractions that one task of the reduction tree combines.
 FAN_IN = 1_000
+#: Like rows that one row stands for, at most, until they are numbered.
+RUN = 4_096
 
 
 def source_targets(
@@ -101,21 +103,25 @@ def mix_sources(
     into blocks by hash, each block rounds its documents from the longest down (so that mass moves between
     documents of like size, and ends in a short one), and the one fraction that a block leaves goes up a tree whose tasks take ``FAN_IN`` of
     them, until a source has one. That one is rounded by its own draw. So no task holds a whole source, a
-    source's number of copies is right to one document, and reruns agree: draws are hashes of key, source and size.
-    NULL sources form one source; repeated rows are documents of their own; an empty table gives no rows; a source of
+    source's number of copies is right to one document, and reruns agree: draws are hashes of key, source, size and
+    a number that tells like rows apart, which are interchangeable. NULL sources form one source; repeated rows are documents of their own; an empty table gives no rows; a source of
     size 0 has target 0 and its documents no copies.
     """
     spark = docs.sparkSession
-    sized = stage(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("long").alias("size")), "mix-sizes"
-    )
+    like = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("long").alias("size"))
+    like = like.groupBy("_key", "_source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    # Like rows are counted and numbered, so that each has a draw and a block of its own; long runs are written out piece by piece.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(RUN)))).alias("_run")
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN), F.col("_n") - F.col("_run") * RUN) - 1)).alias("_step")
+    numbered = like.select("*", run).select("_key", "_source", "size", "_run", step)
+    sized = stage(numbered.select("_key", "_source", "size", (F.col("_run") * RUN + F.col("_step")).alias("_number")), "mix-sizes")
     targets = stage(source_targets(sized, weights, share, most, "_source"), "mix-targets")
     same = sized["_source"].eqNullSafe(targets["_source"])
     due = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    joined = sized.join(targets.hint("broadcast") if targets.limit(10_001).count() <= 10_000 else targets, same).select(
-        "_key", sized["_source"], "size", "source_size", "target", "n_docs", due.alias("_due")
+    joined = sized.join(targets, same).select(
+        "_key", sized["_source"], "size", "_number", "source_size", "target", "n_docs", due.alias("_due")
     )
-    hashed = F.xxhash64(F.lit(seed), "_key", "_source", "size")
+    hashed = F.xxhash64(F.lit(seed), "_key", "_source", "size", "_number")
     start = joined.select(
         "*",
         F.floor("_due").alias("_whole"),
@@ -123,7 +129,7 @@ def mix_sources(
         (F.pmod(F.xxhash64(F.lit(seed + 1), hashed), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("_draw"),
         F.pmod(hashed, F.ceil(F.col("n_docs") / BLOCK_ROWS)).alias("_block"),
         F.lit(True).alias("_open"),
-    ).drop("n_docs", "_due")
+    ).drop("n_docs", "_due", "_number")
     schema = start.schema
     done, level = [], 0
     blocks = targets.agg(F.max(F.ceil(F.col("n_docs") / BLOCK_ROWS))).first()[0] or 0

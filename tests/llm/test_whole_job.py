@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelmart.llm import licenses, probminhash, quality, url_aliases
+from parcelmart.llm import licenses, mixing, probminhash, quality, url_aliases
 
 
 def prose(rnd: random.Random, n: int) -> str:
@@ -127,6 +127,25 @@ def test_pipeline_mixing_of_repeated_rows(spark):
     assert got == rows_of(corpus_pipeline.source_mixing(spark, df.repartition(5), ""))
 
 
+def test_mixing_deals_like_rows_over_blocks(spark, monkeypatch):
+    rounds, stage = [], mixing.stage
+
+    def watched(df, name):
+        out = stage(df, name)
+        rounds.extend([out] if name == "mix-round-0" else [])
+        return out
+
+    monkeypatch.setattr(mixing, "stage", watched)
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).alias("size"))
+    rows = rows.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(40).alias("size")))
+    got = mixing.mix_sources(rows).collect()
+    assert len(got) == 20_500
+    assert rounds[0].groupBy("_source", "_block").count().agg(F.max("count")).first()[0] <= 8_000
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 40 and max(r.copies for r in own) <= 2
+
+
 def test_blocks_keep_pairs_four_deviations_under_the_similarity():
     n = probminhash.BLOCK_REGISTERS
     agree = 0.8 - 4 * (0.8 * 0.2 / n) ** 0.5
