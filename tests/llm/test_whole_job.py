@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelmart.llm import licenses, mixing, probminhash, quality, url_aliases
+from parcelmart.llm import bpe, licenses, mixing, pii, probminhash, quality, registry, url_aliases
 
 
 def prose(rnd: random.Random, n: int) -> str:
@@ -196,3 +198,49 @@ def test_trusted_texts_are_found_without_moving_the_others(spark):
         assert set(range(0, 2000, 2)) <= hits and len(hits) < 1000 + 19_000 * 0.05
     empty = quality.key_filter(keys.limit(0), "k", 1 << 15).select("bits").scalar()
     assert spark.range(100).filter(quality.may_hold(empty, F.col("id"), 1 << 15)).count() == 0
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """All stages over a table with NULLs, empty texts, copies, personal data and further columns, each held against plain Python."""
+    tiktoken = pytest.importorskip("tiktoken")
+    rnd = random.Random(41)
+    words = [prose(rnd, 1) for _ in range(400)]
+    good = lambda n=90: " ".join(rnd.choice(words) for _ in range(n))
+    base = [good() for _ in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t)) for i, t in enumerate(base)]
+    rows += [(100 + i, base[i] + " end", "en", "s1", 1) for i in range(8)] + [rows[3]] * 3
+    rows += [(200, good() + " mail a.b@c.org or 10.0.0.1", None, "s0", None), (201, None, "en", "s0", 0), (202, "", "en", None, 0), (None, good(), "en", "s2", 5)]
+    rows += [(300 + i, "too short", "de", "s0", 9) for i in range(3)] + [(400, "la la la " * 60, "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({"kept": F.lit("old"), "score": F.lit(1), "_id": F.lit(2)})
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    steps, now = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, apply in corpus_pipeline.STAGES:
+        now = apply(spark, now, str(tmp_path)).cache()
+        steps[name] = rows_of(now) if name != "byte_level_bpe" else now.collect()
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    judged = quality.judge(spark.createDataFrame(rows, schema), trusted).collect()
+    kept = steps["quality_rules"]
+    assert kept == Counter(tuple(r[c] for c in COLUMNS) for r in judged if r.kept)
+    assert not any(i in (201, 202, 300, 400) for i, *_ in kept) and sum(kept.values()) >= 60, kept
+    single = steps["near_duplicates"]
+    assert single.keys() <= kept.keys() and max(single.values()) == 1 and not any(100 <= (r[0] or 0) < 108 and (r[0] - 100, base[r[0] - 100]) in {(x[0], x[1]) for x in kept} for r in single)
+    finder = pii.Finder(dict(pii.train().weights))
+    changed = lambda t: pii.redact(t, finder.spans(t)[1])
+    private = steps["personal_data"]
+    assert private == Counter((i, changed(t), lang, s, len(changed(t))) for i, t, lang, s, _ in single)
+    mixed = steps["source_mixing"]
+    assert mixed.keys() <= private.keys() and max(mixed.values()) <= 2
+    ranks = bpe.read_ranks(registry.ranks_path())
+    other = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for (i, t, _, s, _), n in mixed.items():
+        ids = other.encode_ordinary(t or "")
+        want[i, s, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())] += n
+    assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in steps["byte_level_bpe"]) == want
+    assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, steps["byte_level_bpe"]))
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
