@@ -21,7 +21,10 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The ratios are those of the documents given."""
+    """Documents that the quality rules keep. The ratios are those of the documents given.
+
+    A NULL or empty text has too few words and goes; rows that repeat are judged alike; an empty table stays empty.
+    """
     return _plain(quality.judge(_plain(docs), registry.trusted_documents(spark, sf_dir)).filter("kept"))
 
 
@@ -51,13 +54,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars is that of the new text."""
+    """All documents, personal data replaced by its kind; n_chars is that of the new text.
+
+    A NULL text stays NULL, as does its n_chars; an empty one stays empty; rows that repeat stay, changed alike.
+    """
     found = pii.find_personal_data(_plain(docs), redacted=True)
     return found.select("doc_id", F.col("redacted_text").alias("text"), "lang", "source", F.length("redacted_text").cast("long").alias("n_chars"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, up to twice; those it does not take go."""
+    """Each row as often as the mix takes it, up to twice; those it does not take go.
+
+    Rows without words have size 0 and are taken by the same draws; rows alike in all columns are interchangeable.
+    """
     rows = _with_id(docs)
     sized = rows.select("_id", "source", registry.word_count("text").alias("size"))
     # Rows alike in all columns are interchangeable: their copies are added up and taken from one of them.
@@ -67,7 +76,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with the digests of the ids and of what they decode to."""
+    """Ids of every document, with the digests of the ids and of what they decode to. A NULL text is empty; rows that repeat stay."""
     out = bpe.digest_documents(_plain(docs), registry.ranks_path())
     return out.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -82,7 +91,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's result is written and read again by the next."""
+    """All stages over the documents table; each stage's result is written and read again by the next.
+
+    Other columns of the table, whatever their names, do not matter; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
         docs = staged(apply(spark, docs, sf_dir), f"pipeline-{name}")
