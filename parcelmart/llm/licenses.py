@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -210,6 +211,18 @@ def _near(offset: Column, spots: list[int]) -> Column:
     return near
 
 
+def _placed(template: int, phrases: list[tuple[str, list[int]]]) -> Callable[[Column], Column]:
+    """Whether a beginning is one of a template, with each mandatory phrase (column of its places, offsets) near its place."""
+
+    def holds(x: Column) -> Column:
+        good = x["t"] == template
+        for places, spots in phrases:
+            good = good & F.exists(places, lambda p: _near(p - x["b"], spots))
+        return good
+
+    return holds
+
+
 def scan(
     docs: DataFrame,
     templates: tuple[Template, ...] = TEMPLATES,
@@ -301,14 +314,7 @@ def scan(
     rows = rows.withColumn("_found", held(F.when(F.col("_state").isNotNull(), closed(F.col("_state")))))
     shares, labels = [], []
     for k, t in enumerate(templates):
-
-        def in_place(x: Column, k: int = k, t: Template = t) -> Column:
-            good = x["t"] == k
-            for m in t.mandatory:
-                spots = offsets(t, m)
-                good = good & F.exists(place[m], lambda p: _near(p - x["b"], spots))
-            return good
-
+        in_place = _placed(k, [(place[m], offsets(t, m)) for m in t.mandatory])
         share = F.array_max(F.transform(F.filter("_found", in_place), lambda x: x["sum"])) / F.lit(index.weight[k])
         verified = share.isNotNull()
         shares.append(F.when(verified, F.least(share, F.lit(1.0))).otherwise(F.lit(0.0)))

@@ -149,7 +149,7 @@ def test_mandatory_phrases_stand_in_their_notice(spark):
         (1, f"{two} Needs OpenGL version 3", {"gpl-2"}), (2, f"version 3 of this. {two}", {"gpl-2"}), (3, f"{two}\n\n{three}", {"gpl-2", "gpl-3"}),
         (4, notice("lgpl-2.1") + " version 3", {"lgpl-2.1"}), (5, notice("lgpl-3"), {"lgpl-3"}), (6, notice("agpl-3"), {"agpl-3"}), (7, notice("isc"), {"isc"}),
         (8, notice("bsd") + " " + notice("bsd-3"), {"bsd", "bsd-3"}), (9, notice("epl-2"), {"epl-2"}), (10, notice("cc0"), {"cc0"}), (11, notice("unlicense"), {"unlicense"}),
-        (12, three.replace("it under", "it, please, under"), {"gpl-3"}), (13, "All rights reserved.", set()), (14, three.replace("version 3", "version 4"), set()),
+        (12, three.replace("it under", "it, please, under"), {"gpl-3"}), (13, "All rights reserved.", {"all-rights-reserved"}), (14, three.replace("version 3", "version 4"), set()),
         (15, "gnu general public license " * 2000 + "version 3 " * 2000, set()),
     ]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(2)
