@@ -95,7 +95,7 @@ def check_splits(df: DataFrame, min_n: int = 100, label: str = "target") -> dict
 def medians(df: DataFrame, columns: Sequence[str] = tuple(NUMERIC)) -> DataFrame:
     """One row per column with its exact median; a column without values has no row."""
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))
-    return exact_percentiles(df.select(F.inline(pairs)), F.col("value"), {"median": 0.5}, ["feature"])
+    return exact_percentiles(df.select(F.inline(pairs)), F.col("value"), {"median": 0.5}, ["feature"], few=True)
 
 
 def fill_missing(df: DataFrame, fills: dict[str, float], categorical: Sequence[str] = tuple(CATEGORICAL)) -> DataFrame:

@@ -39,7 +39,7 @@ def monthly_kpis(mart: DataFrame) -> DataFrame:
         _flag_mean("on_time").alias("on_time_rate"),
         _flag_mean("poor_review", F.col("on_time")).alias("hidden_failure_rate"),
     )
-    p90 = exact_percentiles(rows, F.col("delivery_days"), {"p90_delivery_days": 0.9}, ["purchase_month"])
+    p90 = exact_percentiles(rows, F.col("delivery_days"), {"p90_delivery_days": 0.9}, ["purchase_month"], few=True)
     return counts.join(p90, "purchase_month", "left")
 
 

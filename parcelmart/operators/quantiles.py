@@ -14,6 +14,7 @@ def exact_percentiles(
     percentiles: Mapping[str, float],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
+    few: bool = False,
 ) -> DataFrame:
     """One row per group with one exact percentile per entry of ``percentiles`` (column name -> fraction).
 
@@ -21,7 +22,9 @@ def exact_percentiles(
     wanted rank; one aggregation then keeps the values inside the brackets and only counts, with minimum and maximum, the
     stretches between them; ranks are read off running counts. The sketch misses a rank by at most 1 / ``accuracy`` of
     the group, and brackets reach twice as far, so every rank is inside its bracket and what is ordered in one task is
-    4 / ``accuracy`` of a group for each percentile. Brackets are joined to their rows as Spark's size check decides.
+    4 / ``accuracy`` of a group for each percentile. Brackets are joined to their rows as Spark's size check decides. That
+    check refuses to broadcast a table that leaves most shuffle partitions empty, and would sort a whole group in one
+    task: ``few`` promises so few groups (months, columns of a table) that the brackets are always broadcast.
     """
     wanted = sorted(percentiles.items(), key=lambda item: item[1])
     slack = 2 / accuracy
@@ -33,6 +36,7 @@ def exact_percentiles(
     sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", marks, accuracy).alias("_marks"))
     if keys:
         right = sketch.select(*(F.col(k).alias(f"{k}_r") for k in keys), "_marks")
+        right = F.broadcast(right) if few else right
         marked = rows.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]).select(*keys, "_v", "_marks")
     else:
         marked = rows.withColumn("_marks", sketch.select("_marks").scalar())

@@ -417,7 +417,7 @@ _on_mart("sample_size", lambda m: segments.experiment_sizes(segments.segment_tab
 _on_mart(
     "percentiles",
     lambda m: quantiles.exact_percentiles(
-        mart.eligible_orders(m), F.col("delivery_days"), {"median": 0.5, "p90": 0.9}, ["customer_state"]
+        mart.eligible_orders(m), F.col("delivery_days"), {"median": 0.5, "p90": 0.9}, ["customer_state"], few=True
     ),
 )
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parcelmart.operators.features import NUMERIC, medians
 from parcelmart.operators.quantiles import exact_percentiles
 
 PERCENTILES = {"low": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "high": 1.0}
@@ -47,3 +48,17 @@ def test_many_groups_need_no_option(spark):
     df = spark.range(100_001).select("id", F.col("id").cast("double").alias("v"))
     got = exact_percentiles(df, F.col("v"), {"p": 0.5}, ["id"])
     assert got.count() == 100_001 and got.filter("p <> id").count() == 0
+
+
+def test_few_groups_are_not_sorted_by_group(spark):
+    """Most of the shuffle partitions would be empty, and Spark then refuses to broadcast the brackets by itself."""
+    asked = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        train = spark.range(100).select(*(F.col("id").cast("double").alias(c) for c in NUMERIC))
+        middle = medians(train)
+        assert {r["feature"]: r["median"] for r in middle.collect()} == dict.fromkeys(NUMERIC, 49.5)
+        plan = middle._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
