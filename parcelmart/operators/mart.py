@@ -27,18 +27,18 @@ def item_summary(
 ) -> DataFrame:
     """One row per order with items; given ``orders``, items of other orders are left out.
 
-    Items are first added up by (order, seller, category), so a hot order is combined before the shuffle and what is
-    left of it is one row per seller and category. Labels travel as text with those rows, and their least and
-    greatest value tell whether an order has one or several; dimensions are joined once and left to Spark's size check.
+    Items are first added up by (order, seller, category), so a hot order is combined before it is dealt to one task and
+    what is left of it is one row per seller and category. These rows are shuffled once, by order: distinct sellers and
+    categories are sets of the order (``count_distinct`` of two columns would shuffle every row three times). Labels travel
+    as text with the rows, and their least and greatest value tell whether an order has one or several; dimensions are
+    joined once and left to Spark's size check.
     """
     labelled = products.join(translation, "product_category_name", "left").select(
         "product_id", "product_category_name", "product_category_name_english", "product_weight_g"
     )
-    rows = items.select("order_id", "product_id", "seller_id", "price", "freight_value")
-    if orders is not None:
-        rows = rows.join(orders.select("order_id"), "order_id", "left_semi")
     parts = (
-        rows.join(labelled, "product_id", "left")
+        items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+        .join(labelled, "product_id", "left")
         .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
         .groupBy("order_id", "seller_id", "seller_state", "product_category_name", "product_category_name_english")
         .agg(
@@ -49,17 +49,23 @@ def item_summary(
             F.count("product_weight_g").alias("weighed"),
         )
     )
-    grouped = parts.groupBy("order_id").agg(
-        F.sum("n").alias("item_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
-        F.sum("price").alias("item_value_brl"),
-        F.sum("freight").alias("freight_charged_brl"),
-        F.count_distinct("product_category_name").alias("category_count"),
-        F.try_divide(F.sum("weight"), F.sum("weighed")).alias("mean_weight_g"),
-        F.max("product_category_name_english").alias("_label"),
-        F.min("seller_state").alias("one_seller_state"),
-        F.max("seller_state").alias("_other_state"),
+    grouped = (
+        parts.repartition("order_id")
+        .groupBy("order_id")
+        .agg(
+            F.sum("n").alias("item_count"),
+            F.size(F.collect_set("seller_id")).cast("bigint").alias("seller_count"),
+            F.sum("price").alias("item_value_brl"),
+            F.sum("freight").alias("freight_charged_brl"),
+            F.size(F.collect_set("product_category_name")).cast("bigint").alias("category_count"),
+            F.try_divide(F.sum("weight"), F.sum("weighed")).alias("mean_weight_g"),
+            F.max("product_category_name_english").alias("_label"),
+            F.min("seller_state").alias("one_seller_state"),
+            F.max("seller_state").alias("_other_state"),
+        )
     )
+    if orders is not None:
+        grouped = grouped.join(orders.select("order_id"), "order_id", "left_semi")
     category = F.when(F.col("category_count") > 1, "mixed_categories").otherwise(F.coalesce("_label", F.lit("unknown")))
     return grouped.select(
         "order_id",
@@ -150,7 +156,8 @@ def with_outcomes(df: DataFrame, rule: ReviewRule = ReviewRule()) -> DataFrame:
 
 
 def build_mart(tables: Mapping[str, DataFrame], rule: ReviewRule = ReviewRule()) -> DataFrame:
-    summary = item_summary(tables["items"], tables["products"], tables["translation"], tables["sellers"], tables["orders"])
+    # Items of other orders find no order below.
+    summary = item_summary(tables["items"], tables["products"], tables["translation"], tables["sellers"])
     context = join_order_context(
         tables["orders"], tables["customers"], summary, first_review(tables["reviews"], rule)
     )

@@ -119,6 +119,23 @@ def test_no_single_partition_in_the_mart(shop):
     assert "SinglePartition" not in plan
 
 
+def test_items_are_shuffled_once_by_order(shop):
+    """Expand would shuffle every item once for each distinct count; orders are met by the summary, not by the items."""
+    plan = M.build_mart(shop)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "LeftSemi" not in plan
+
+
+def test_sellers_and_categories_are_counted_once(make_tables):
+    items = [("o", n, f"p{n % 3}", s, 1.0, 0.5) for n, s in enumerate(["s1", "s1", None, "s2", "s1", "s2", None])]
+    tables = make_tables(
+        orders=[order("o", delivered="2018-01-03"), order("n", delivered="2018-01-03")],
+        products=[("p0", "c0", 1.0), ("p1", "c1", 3.0), ("p2", None, None)],
+        items=[*items, ("n", 1, None, None, 2.0, 0.0), ("n", 2, None, None, None, 0.0), (None, 1, "p0", "s1", 1.0, 0.0)],
+    )
+    got = {r.order_id: (r.item_count, r.seller_count, r.category_count, r.item_value_brl) for r in M.build_mart(tables).collect()}
+    assert got == {"o": (7, 2, 2, 7.0), "n": (2, 0, 0, 2.0)}
+
+
 def test_hot_order_against_sql(spark):
     """One order holds a third of all items and reviews; the result must equal plain SQL."""
     rng = random.Random(5)
