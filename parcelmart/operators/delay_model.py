@@ -105,10 +105,13 @@ def fit_preprocessing(train: DataFrame, min_frequency: int = 50) -> DelayModel:
 
 
 def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: int = 50, tol: float = 1e-6) -> DelayModel:
-    """L2-penalized logistic regression; ``c`` is the inverse penalty on the summed loss, the intercept is free."""
+    """L2-penalized logistic regression; ``c`` is the inverse penalty on the summed loss, the intercept is free.
+
+    The solver keeps blocks of its own rows in memory; rows kept here as well would push these blocks out to disk.
+    """
     model = fit_preprocessing(train, min_frequency)
-    rows = encode(train, model).select(F.col("target").cast("double").alias("target"), "features").persist()
-    n = rows.count()
+    rows = encode(train, model).select(F.col("target").cast("double").alias("target"), "features")
+    n = train.count()
     estimator = LogisticRegression(
         labelCol="target",
         featuresCol="features",
@@ -121,7 +124,6 @@ def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: i
     model.classifier = estimator.fit(rows)
     model.weights = [float(w) for w in model.classifier.coefficients.toArray()]
     model.intercept = model.classifier.intercept
-    rows.unpersist()
     return model
 
 

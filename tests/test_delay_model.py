@@ -121,6 +121,13 @@ def test_fit_matches_a_newton_solve(split):
     assert table.coefficient.is_monotonic_increasing and "category__customer_state_infrequent" in set(table.feature)
 
 
+def test_rows_of_the_fit_are_cached_by_the_solver_alone(split, monkeypatch):
+    given, solve = [], D.LogisticRegression.fit
+    monkeypatch.setattr(D.LogisticRegression, "fit", lambda self, rows: given.append(rows.storageLevel) or solve(self, rows))
+    D.fit(split["train"], min_frequency=50)
+    assert [level.useMemory or level.useDisk for level in given] == [False]
+
+
 def test_scores_are_those_of_the_classifier_and_gradients_vanish(split):
     model = D.fit(split["train"], min_frequency=50)
     strange = split["test"].unionByName(split["test"].limit(1).withColumns({"order_id": F.lit("odd"), "category": F.lit("never seen")}))
