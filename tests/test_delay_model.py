@@ -128,6 +128,19 @@ def test_rows_of_the_fit_are_cached_by_the_solver_alone(split, monkeypatch):
     assert [level.useMemory or level.useDisk for level in given] == [False]
 
 
+def test_no_task_of_the_fit_sorts_a_whole_column(spark, split, monkeypatch):
+    """Where Spark refuses to broadcast by itself, the largest task of ``model_report`` was the sort of one column."""
+    asked, found, middles = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), [], D.medians
+    monkeypatch.setattr(D, "medians", lambda train: found.append(middles(train)) or found[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert set(D.fit_preprocessing(split["train"], 50).fills) == set(X.NUMERIC)
+        plan = found[0]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+
+
 def test_scores_are_those_of_the_classifier_and_gradients_vanish(split):
     model = D.fit(split["train"], min_frequency=50)
     strange = split["test"].unionByName(split["test"].limit(1).withColumns({"order_id": F.lit("odd"), "category": F.lit("never seen")}))
