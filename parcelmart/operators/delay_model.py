@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.inference import FALSE_NEGATIVE_COST, FALSE_POSITIVE_COST
-from ..sources.staging import stage
+from ..sources.staging import scratch, stage
 from .features import CATEGORICAL, NUMERIC, SPLITS, fill_missing, medians, scaling, vocabulary
 from .scoring import best_threshold, constant_baseline, evaluate, threshold_sweep
 
@@ -121,7 +121,10 @@ def fit(train: DataFrame, c: float = 0.3, max_iter: int = 1500, min_frequency: i
         maxIter=max_iter,
         tol=tol,
     )
-    model.classifier = estimator.fit(rows)
+    # A model just solved holds the session, which tasks cannot receive once it has observed anything; one read back does not.
+    with scratch(train.sparkSession, "model-classifier") as path:
+        estimator.fit(rows).write().save(path)
+        model.classifier = LogisticRegressionModel.load(path)
     model.weights = [float(w) for w in model.classifier.coefficients.toArray()]
     model.intercept = model.classifier.intercept
     return model

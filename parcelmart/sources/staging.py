@@ -46,6 +46,16 @@ def drop_staged(spark: SparkSession) -> None:
     _delete(spark, f"{checkpoint_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path under the checkpoint folder, deleted at the end of the block."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A ``stage`` whose tables are deleted at the end of the block."""

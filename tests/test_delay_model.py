@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import at
@@ -154,6 +155,14 @@ def test_scores_are_those_of_the_classifier_and_gradients_vanish(split):
     assert max(abs(r.gradient) for r in D.penalised_gradients(model, split["train"]).collect()) > 1e-3
 
 
+def test_the_classifier_reaches_tasks_after_an_observation(spark, split):
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    model = D.fit(split["train"], min_frequency=50)
+    scored = model.classifier.transform(D.encode(split["test"], model)).select("probability").collect()
+    assert seen.get == {"n": 3} and len(scored) == split["test"].count()
+
+
 def test_unseen_category_becomes_a_zero_vector(split):
     model = D.fit_preprocessing(split["train"], 50)
     strange = split["test"].limit(1).withColumns({"customer_state": F.lit("Z"), "category": F.lit("never seen")})
